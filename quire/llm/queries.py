@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, packing, secrets, sharding, token_codec
+from . import decontaminate, line_dedup, packing, quality, secrets, sharding, token_codec
 from .common import table
 
 
@@ -50,5 +50,10 @@ def op9_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_line_dedup, op5_best_fit_packing, op7_sharding, op8_token_files, op9_benchmark_leaks)}
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics and verdict of every document."""
+    return quality.judge(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_line_dedup, op5_best_fit_packing, op7_sharding, op8_token_files, op9_benchmark_leaks, op10_quality_rules)}
 ORACLE_SQL: dict[str, str] = {}
