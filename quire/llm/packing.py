@@ -171,7 +171,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
 
         def step(batch: pa.RecordBatch) -> dict:
             at, rows = [], []
-            for i, ids in enumerate(enc.encode(batch.column(1).to_pylist())):
+            for i, ids in enumerate(enc.encode_array(batch.column(1))):
                 whole = np.append(ids.astype("<u4"), np.uint32(0))
                 for k, (s, n) in enumerate(cut(len(whole), capacity)):
                     at.append(i)

@@ -1,9 +1,12 @@
-"""Token ids of whole texts by the tokenizers library, with a bounded memo of pre-tokens.
-
-Byte-level BPE never merges across pre-tokens, so a text's ids are the ids of its pre-tokens one after another.  The
-texts are split by the tokenizer's own pattern; pre-tokens not seen before are encoded by the tokenizers library, many
-at a time as lines of one string; the rest come from the memo.  The memo is emptied at a fixed number of entries, so
-memory is bounded.  A tokenizer of any other kind encodes whole texts directly.
+"""Token ids of whole texts by the tokenizers library, with a bounded memo of pieces of text.
+
+Byte-level BPE never merges across pre-tokens, so a text may be cut wherever two pre-tokens meet, and its ids are those
+of its pieces one after another.  Texts are cut before spaces, line ends, full stops and commas, by Arrow, many texts at
+a time; a cut is certain to fall between pre-tokens if what stands before a space or line end is no white space, and
+before a stop or comma is a letter or digit.  Texts with any other cut are split by the tokenizer's whole pattern.
+Pieces not seen before are encoded by the tokenizers library, many at a time as lines of one string; the rest come from
+the memo, which is emptied at a fixed number of entries, so memory is bounded.  A tokenizer of any other kind encodes
+whole texts directly.
 """
 
 from __future__ import annotations
@@ -12,10 +15,10 @@ import json
 import re
 import sys
 import zlib
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
@@ -24,8 +27,6 @@ from .common import map_rows
 #: The pre-token pattern of byte-level BPE, and the same for ASCII texts in the faster engine.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 ASCII_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^ \t-\rA-Za-z0-9]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+"
-MEMO_ENTRIES = 600_000
-TEXTS_AT_ONCE = 400
 
 
 def default_path() -> str:
@@ -34,6 +35,11 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+CUT = "\x01"
+MEMO_ENTRIES = 800_000
+SLICE_BYTES = 8 << 20
+
+
 class Encoder:
     """encode(texts) gives an array of ids per text; ids have the narrowest unsigned type that holds the vocabulary."""
 
@@ -45,43 +51,116 @@ class Encoder:
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         about = json.loads(spec)
         kind = about.get("pre_tokenizer") or {}
-        self.split = about.get("normalizer") is None and kind.get("type") == "ByteLevel" and kind.get("use_regex", True) and not kind.get("add_prefix_space")
-        self.newline = self._ids(["\n"])[0]
-        self.split = self.split and len(self.newline) == 1
-        self.memo, self.memo_entries = {}, memo_entries
+        self.newline = self._library(["\n"])[0]
+        self.split = about.get("normalizer") is None and kind.get("type") == "ByteLevel" and kind.get("use_regex", True) and not kind.get("add_prefix_space") and len(self.newline) == 1
         self.ascii, self.any = re.compile(ASCII_PATTERN).findall, regex.compile(PATTERN).findall
+        self.memo_entries = memo_entries
+        self._empty()
+
+    def _empty(self) -> None:
+        """memo: piece -> place in begin, size and flags; pool: the ids of all pieces."""
+        self.memo: dict[str, int] = {}
+        self.pool, self.used = np.empty(1 << 20, dtype=self.dtype), 0
+        self.begin, self.size, self.flags = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.uint8)
 
-    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+    def _library(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype=self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, parts: list[str], at_once: int = 200) -> None:
-        plain = [p for p in parts if "\n" not in p and not p.isspace()]
-        for p in set(parts).difference(plain):
-            self.memo[p] = self._ids([p])[0].tobytes()
-        groups = [plain[i : i + at_once] for i in range(0, len(plain), at_once)]
-        size = self.dtype.itemsize
-        for group, ids in zip(groups, self._ids(["\n".join(g) + "\n" for g in groups]), strict=True):
-            raw, begin = ids.tobytes(), 0
-            for p, end in zip(group, np.flatnonzero(ids == self.newline[0]).tolist(), strict=True):
-                self.memo[p] = raw[begin * size : end * size]
-                begin = end + 1
+    def _add(self, pieces: list[str], begin: np.ndarray, size: np.ndarray, ids: np.ndarray) -> None:
+        """Pieces whose ids are ids[begin : begin + size]."""
+        first, n = len(self.memo), len(pieces)
+        while len(self.begin) < first + n:
+            self.begin, self.size, self.flags = (np.concatenate([a, np.zeros_like(a)]) for a in (self.begin, self.size, self.flags))
+        while len(self.pool) < self.used + len(ids):
+            self.pool = np.concatenate([self.pool, np.empty_like(self.pool)])
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.size[first : first + n] = size
+        self.begin[first : first + n] = begin + self.used
+        # 1: may follow only a letter or digit, other pieces only what is no white space; 4, 8: ends with such
+        self.flags[first : first + n] = [(p[0] in ".,") + 4 * p[-1].isalnum() + 8 * (not p[-1].isspace()) for p in pieces]
+        self.used += len(ids)
+        self.memo.update(zip(pieces, range(first, first + n), strict=True))
+
+    def _learn(self, pieces: list[str], at_once: int = 200) -> None:
+        """New pieces: those of one line as lines of long strings; a line end before a piece is one of these line ends."""
+        if not pieces:
+            return
+        # neither end may join a line end: no white space there but one space in front
+        plain = [p for p in pieces if not p[-1].isspace() and not p[p[0] == " "].isspace() and "\n" not in p]
+        other = list(set(pieces).difference(plain))
+        lined = [p for p in other if p[0] == "\n" and p.count("\n") == 1 and not p[-1].isspace() and not p[1].isspace()]
+        lines = plain + [p[1:] for p in lined]
+        if lines:
+            got = self._library(["\n" + "\n".join(lines[i : i + at_once]) + "\n" for i in range(0, len(lines), at_once)])
+            ends = [np.flatnonzero(g == self.newline[0]) for g in got]
+            shift = np.cumsum([0] + [len(g) for g in got[:-1]])
+            begin = np.concatenate([e[:-1] + s for e, s in zip(ends, shift, strict=True)]) + 1
+            size = np.concatenate([np.diff(e) for e in ends]) - 1
+            if len(begin) != len(lines):
+                raise AssertionError("a line end met another token")
+            begin[len(plain) :] -= 1
+            size[len(plain) :] += 1
+            self._add(plain + lined, begin, size, np.concatenate(got))
+        if rest := list(set(other).difference(lined)):
+            got = self._library(rest)
+            size = np.fromiter(map(len, got), np.int64, len(got))
+            self._add(rest, np.cumsum(size) - size, size, np.concatenate(got))
+
+    def _slow(self, text: str) -> np.ndarray:
+        parts = self.ascii(text) if text.isascii() else self.any(text)
+        self._learn(list(set(parts).difference(self.memo)))
+        at = np.fromiter(map(self.memo.__getitem__, parts), np.int64, len(parts))
+        return self._gather(at)
+
+    def _gather(self, at: np.ndarray) -> np.ndarray:
+        size = self.size[at]
+        total = int(size.sum())
+        return self.pool[np.repeat(self.begin[at] - np.cumsum(size) + size, size) + np.arange(total)]
+
+    def encode_array(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text of an Arrow string array; null counts as empty."""
+        if not self.split:
+            return self._library([t or "" for t in texts.to_pylist()])
+        out: list[np.ndarray] = []
+        size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+        edges = np.flatnonzero(np.diff(np.cumsum(size) // SLICE_BYTES)) + 1
+        for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(texts)], strict=True):
+            if b > a:
+                out += self._encode_slice(pc.fill_null(texts.slice(a, b - a).cast(pa.large_string()), ""))
+        return out
 
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        out = []
-        for i in range(0, len(texts), TEXTS_AT_ONCE):
-            some = [t or "" for t in texts[i : i + TEXTS_AT_ONCE]]
-            if not self.split:
-                out += self._ids(some)
-                continue
-            parts = [self.ascii(t) if t.isascii() else self.any(t) for t in some]
-            if len(self.memo) > self.memo_entries:
-                self.memo.clear()
-            if new := list(set(chain.from_iterable(parts)).difference(self.memo)):
-                self._learn(new)
-            get = self.memo.__getitem__
-            out += [np.frombuffer(b"".join(map(get, p)), dtype=self.dtype) for p in parts]
+    def _encode_slice(self, texts: pa.Array) -> list[np.ndarray]:
+        if len(self.memo) > self.memo_entries:
+            self._empty()
+        bad = pc.match_substring(texts, CUT).to_numpy(zero_copy_only=False).copy()
+        marked = texts
+        for c in " \n.,":
+            marked = pc.replace_substring(marked, c, CUT + c)
+        lists = pc.split_pattern(marked, CUT)
+        first = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        coded = lists.flatten().dictionary_encode()
+        pieces = coded.dictionary.to_pylist()
+        place = list(map(self.memo.get, pieces))
+        if None in place:
+            self._learn([p for p, k in zip(pieces, place, strict=True) if k is None and p])
+            place = [self.memo.get(p, -1) for p in pieces]
+        at = np.array(place, dtype=np.int64)[coded.indices.to_numpy()]
+        owner = np.repeat(np.arange(len(texts)), np.diff(first))
+        owner, at = owner[at >= 0], at[at >= 0]
+        flags = self.flags[at]
+        wrong = (owner[1:] == owner[:-1]) & (np.where(flags[1:] & 1, flags[:-1] & 4, flags[:-1] & 8) == 0)
+        bad[owner[1:][wrong]] = True
+        size = self.size[at]
+        flat = self._gather(at)
+        ends = np.cumsum(np.bincount(owner, weights=size, minlength=len(texts)).astype(np.int64))
+        out = np.split(flat, ends[:-1])
+        for k in np.flatnonzero(bad).tolist():
+            out[k] = self._slow(texts[k].as_py())
         return out
 
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        return self.encode_array(pa.array(texts, type=pa.string()))
+
 
 def encoder(spec: str) -> Encoder:
     """One encoder per Python worker, whatever the number of tasks that it runs."""
@@ -109,7 +188,7 @@ def tokenize(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
         end = np.array([end_id], dtype=enc.dtype)
 
         def step(batch: pa.RecordBatch) -> dict:
-            ids = [np.concatenate([x, end]) for x in enc.encode(batch.column(1).to_pylist())]
+            ids = [np.concatenate([x, end]) for x in enc.encode_array(batch.column(1))]
             return {id_col: batch.column(0), "n_tokens": [len(x) for x in ids], "ids": [x.tobytes() for x in ids]}
 
         return step
