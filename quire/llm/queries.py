@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, packing, quality, secrets, sharding, token_codec
+from . import decontaminate, line_dedup, minhash, packing, quality, secrets, sharding, token_codec
 from .common import table
 
 
@@ -34,6 +34,11 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose two-word shingle sets have similarity 0.8 or more."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in shards 0 to 7 of near-equal size."""
     placed = sharding.shard(table(spark, sf_dir, "documents"))
@@ -55,5 +60,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_line_dedup, op5_best_fit_packing, op7_sharding, op8_token_files, op9_benchmark_leaks, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_line_dedup, op5_best_fit_packing, op6_minhash_near_duplicates, op7_sharding, op8_token_files, op9_benchmark_leaks, op10_quality_rules)}
 ORACLE_SQL: dict[str, str] = {}
