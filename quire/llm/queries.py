@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, line_dedup, minhash, packing, quality, secrets, sharding, token_codec
+from . import decontaminate, html_wrappers, langid, line_dedup, minhash, packing, quality, secrets, sharding, token_codec
 from .common import table
 
 
@@ -24,6 +24,12 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page by its host's wrapper."""
+    found = html_wrappers.main_texts(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's text without its later repeated runs of lines."""
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -67,5 +73,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_line_dedup, op4_language_id, op5_best_fit_packing, op6_minhash_near_duplicates, op7_sharding, op8_token_files, op9_benchmark_leaks, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_html_extraction, op3_line_dedup, op4_language_id, op5_best_fit_packing, op6_minhash_near_duplicates, op7_sharding, op8_token_files, op9_benchmark_leaks, op10_quality_rules)}
 ORACLE_SQL: dict[str, str] = {}
