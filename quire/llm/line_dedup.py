@@ -15,7 +15,7 @@ inside a deleted stretch go with it.  Extra columns are kept, whatever their nam
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -24,40 +24,43 @@ GRAM_WORDS = 30
 RUN_WORDS = 50
 
 
+def _keys(id_col: Column, text: Column) -> list[Column]:
+    """Two hashes that name an id and text, null or not."""
+    return [F.xxhash64(id_col, text).alias("h"), F.xxhash64(text, F.lit(1), id_col).alias("g")]
+
+
 def line_table(docs: DataFrame, id_col: str, text_col: str, gram_words: int, run_words: int) -> DataFrame:
     """A row per line with a word, once for each id and text: its place and hash, and the fingerprint of its window."""
-    lines = docs.select(F.col(id_col).alias("d"), F.xxhash64(text_col).alias("h"), F.posexplode(F.split(text_col, "\n")).alias("pos", "line"))
-    lines = lines.select("d", "h", "pos", F.xxhash64("line").alias("lh"), F.regexp_count("line", F.lit(r"[^\x20\x09-\x0D]+")).alias("n")).where("n > 0")
-    lines = lines.repartition("d", "h").groupBy("d", "h", "pos").agg(F.first("lh").alias("lh"), F.first("n").cast("long").alias("n"))
-    by_place = Window.partitionBy("d", "h").orderBy("pos")
+    lines = docs.select(F.col(id_col).alias("d"), *_keys(F.col(id_col), F.col(text_col)), F.posexplode(F.split(text_col, "\n")).alias("pos", "line"))
+    lines = lines.select("d", "h", "g", "pos", F.xxhash64("line").alias("lh"), F.regexp_count("line", F.lit(r"[^\x20\x09-\x0D]+")).alias("n")).where("n > 0")
+    lines = lines.repartition("h", "g").groupBy("h", "g", "pos").agg(F.first("d").alias("d"), F.first("lh").alias("lh"), F.first("n").cast("long").alias("n"))
+    by_place = Window.partitionBy("h", "g").orderBy("pos")
     lines = lines.select("*", F.row_number().over(by_place).alias("idx"), (F.sum("n").over(by_place) - F.col("n")).alias("b"))
-    by_word = Window.partitionBy("d", "h").orderBy("b")
+    by_word = Window.partitionBy("h", "g").orderBy("b")
     gram = by_word.rangeBetween(0, gram_words - 1)
-    lines = lines.select("*", F.xxhash64(F.collect_list("lh").over(gram)).alias("gh"), F.max(F.col("b") + F.col("n")).over(gram).alias("gram_end"), F.sum("n").over(Window.partitionBy("d", "h")).alias("total"))
-    known = F.when(F.col("gram_end") - F.col("b") >= gram_words, F.struct("gh", (-F.col("b")).alias("late"), "idx"))
+    lines = lines.select("*", F.xxhash64(F.collect_list("lh").over(gram)).alias("gram"), F.max(F.col("b") + F.col("n")).over(gram).alias("gram_end"), F.sum("n").over(Window.partitionBy("h", "g")).alias("total"))
+    known = F.when(F.col("gram_end") - F.col("b") >= gram_words, F.struct("gram", (-F.col("b")).alias("late"), "idx"))
     picked = F.when(F.col("total") - F.col("b") >= run_words, F.min(known).over(by_word.rangeBetween(0, run_words - gram_words)))
-    return lines.select("d", "h", "pos", "idx", "lh", "n", picked["gh"].alias("print"), picked["idx"].alias("print_idx"))
+    return lines.select("d", "h", "g", "pos", "idx", "lh", "n", picked["gram"].alias("print"), picked["idx"].alias("print_idx"))
 
 
 def repeated_runs(lines: DataFrame, gram_words: int) -> DataFrame:
-    """(d, h, first_pos, last_pos) of the stretches to delete, from a stored line_table()."""
-    prints = lines.where("print is not null").select("print", "d", "h", F.col("print_idx").alias("idx")).distinct()
-    firsts = prints.groupBy("print").agg(F.min(F.struct("d", "h", "idx")).alias("first"), F.count("*").alias("times")).where("times > 1")
+    """(h, g, first_pos, last_pos) of the stretches to delete, from a stored line_table()."""
+    prints = lines.where("print is not null").select("print", "d", "h", "g", F.col("print_idx").alias("idx")).distinct()
+    firsts = prints.groupBy("print").agg(F.min(F.struct("d", "h", "g", "idx")).alias("first"), F.count("*").alias("times")).where("times > 1")
     pairs = (
-        prints.join(firsts.select("print", F.col("first.d").alias("fd"), F.col("first.h").alias("fh"), F.col("first.idx").alias("fidx")), "print")
-        .where(~(F.col("d").eqNullSafe(F.col("fd")) & (F.col("h") == F.col("fh")) & (F.col("idx") == F.col("fidx"))))
-        .select("d", "h", "fd", "fh", (F.col("idx") - F.col("fidx")).alias("shift"))
+        prints.join(firsts.select("print", F.col("first.h").alias("fh"), F.col("first.g").alias("fg"), F.col("first.idx").alias("fidx")), "print")
+        .where(~((F.col("h") == F.col("fh")) & (F.col("g") == F.col("fg")) & (F.col("idx") == F.col("fidx"))))
+        .select("h", "g", "fh", "fg", (F.col("idx") - F.col("fidx")).alias("shift"))
         .distinct()
     )
-    at = lambda df, a: df.select(*[F.col(c).alias(f"{a}_{c}") for c in ("d", "h", "pos", "idx", "lh", "n")])
-    own = pairs.join(at(lines, "l"), F.col("d").eqNullSafe(F.col("l_d")) & (F.col("h") == F.col("l_h")))
-    other = at(lines, "o").drop("o_pos", "o_n")
-    same = own.join(other, F.col("fd").eqNullSafe(F.col("o_d")) & (F.col("fh") == F.col("o_h")) & (F.col("l_idx") - F.col("shift") == F.col("o_idx")) & (F.col("l_lh") == F.col("o_lh")))
-    diagonal = ["d", "h", "fd", "fh", "shift"]
-    stretch = F.col("l_idx") - F.row_number().over(Window.partitionBy(*diagonal).orderBy("l_idx"))
-    runs = same.select(*diagonal, "l_idx", "l_pos", "l_n", stretch.alias("stretch")).groupBy(*diagonal, "stretch")
-    runs = runs.agg(F.min("l_pos").alias("first_pos"), F.max("l_pos").alias("last_pos"), F.sum("l_n").alias("words")).where(F.col("words") >= gram_words)
-    return runs.select("d", "h", "first_pos", "last_pos").distinct()
+    own = pairs.join(lines.select("h", "g", "pos", "idx", "lh", "n"), ["h", "g"]).withColumn("fidx", F.col("idx") - F.col("shift"))
+    other = lines.select(F.col("h").alias("fh"), F.col("g").alias("fg"), F.col("idx").alias("fidx"), "lh")
+    diagonal = ["h", "g", "fh", "fg", "shift"]
+    stretch = F.col("idx") - F.row_number().over(Window.partitionBy(*diagonal).orderBy("idx"))
+    same = own.join(other, ["fh", "fg", "fidx", "lh"]).select(*diagonal, "idx", "pos", "n", stretch.alias("stretch"))
+    runs = same.groupBy(*diagonal, "stretch").agg(F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"), F.sum("n").alias("words"))
+    return runs.where(F.col("words") >= gram_words).select("h", "g", "first_pos", "last_pos").distinct()
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram_words: int = GRAM_WORDS, run_words: int = RUN_WORDS) -> DataFrame:
@@ -65,15 +68,15 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     array<struct<first_pos,last_pos>> (line numbers from 0; runs may overlap); columns of docs with these two names are
     replaced."""
     lines = materialize(line_table(docs, id_col, text_col, gram_words, run_words), "lines")
-    runs = repeated_runs(lines, gram_words).groupBy("d", "h").agg(F.sort_array(F.collect_list(F.struct("first_pos", "last_pos"))).alias("_runs"))
-    copy = F.row_number().over(Window.partitionBy("_d", "_h").orderBy("_h"))
+    runs = repeated_runs(lines, gram_words).groupBy("h", "g").agg(F.sort_array(F.collect_list(F.struct("first_pos", "last_pos"))).alias("_runs"))
+    copy = F.row_number().over(Window.partitionBy("h", "g").orderBy("h"))
     whole_row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
     text = F.col("_row")[text_col]
-    keyed = whole_row.select("_row", F.col("_row")[id_col].alias("_d"), F.xxhash64(text).alias("_h")).withColumn("_copy", copy)
+    keyed = whole_row.select("_row", *_keys(F.col("_row")[id_col], text)).withColumn("_copy", copy)
     split = F.split(text, "\n")
     again = (F.col("_copy") > 1) & (F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")) >= run_words)
     whole = F.array(F.struct(F.lit(0).alias("first_pos"), (F.size(split) - 1).alias("last_pos")))
-    found = keyed.join(runs, F.col("_d").eqNullSafe(F.col("d")) & (F.col("_h") == F.col("h")), "left").withColumn("_cut", F.when(again, whole).otherwise(F.col("_runs")))
+    found = keyed.join(runs, ["h", "g"], "left").withColumn("_cut", F.when(again, whole).otherwise(F.col("_runs")))
     inside = lambda i: F.exists("_cut", lambda r: (r["first_pos"] <= i) & (i <= r["last_pos"]))
     cut = found.withColumn("_kept", F.when(text.isNotNull() & F.col("_cut").isNotNull(), F.filter(split, lambda line, i: ~inside(i))))
     columns = [F.when(F.col("_kept").isNotNull(), F.array_join("_kept", "\n")).otherwise(text).alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in docs.columns if c not in ("removed_lines", "removed_runs")]
