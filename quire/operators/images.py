@@ -35,12 +35,10 @@ def best_rotation(probes: DataFrame, page: str, upright: float = UPRIGHT) -> Dat
 def otsu(gray: np.ndarray) -> int:
     """The threshold of greatest between-class variance; the first of equals."""
     n = np.bincount(gray.ravel(), minlength=256).astype(float)
-    low = np.cumsum(n)
-    total, mass = low[-1], np.cumsum(n * np.arange(256))
-    high = total - low
-    with np.errstate(divide="ignore", invalid="ignore"):
-        spread = low * high * (mass / low - (mass[-1] - mass) / high) ** 2
-    return int(np.nan_to_num(spread).argmax())
+    low, mass = np.cumsum(n), np.cumsum(n * np.arange(256))
+    apart = mass * low[-1] - mass[-1] * low
+    both = low * (low[-1] - low)
+    return int(np.divide(apart * apart, both, out=np.zeros(256), where=both > 0).argmax())
 
 
 def binarize(gray: np.ndarray, threshold: int | None = None) -> np.ndarray:

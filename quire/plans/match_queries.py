@@ -315,7 +315,7 @@ def _images(spark, d):
 
 @query(f"""WITH px AS (SELECT vec_id, {_PIXELS} AS p FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS x FROM embeddings)), lv AS (SELECT vec_id, unnest(range(256)) AS t FROM embeddings),
  c AS (SELECT lv.vec_id, t, count(*) FILTER (p <= t) AS n0, sum(p) FILTER (p <= t) AS s0, count(*) FILTER (p > t) AS n1, sum(p) FILTER (p > t) AS s1 FROM lv JOIN px USING (vec_id) GROUP BY ALL),
- v AS (SELECT vec_id, t, CASE WHEN n0 > 0 AND n1 > 0 THEN round(n0 * n1 * pow(s0 / n0 - s1 / n1, 2), 6) ELSE 0 END AS var FROM c)
+ v AS (SELECT vec_id, t, CASE WHEN n0 > 0 AND n1 > 0 THEN CAST(s0 * n1 - s1 * n0 AS DOUBLE) * CAST(s0 * n1 - s1 * n0 AS DOUBLE) / CAST(n0 * n1 AS DOUBLE) ELSE 0 END AS var FROM c)
  SELECT vec_id, CAST(t AS INT) AS threshold FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY var DESC, t) AS n FROM v) WHERE n = 1""")
 def image_otsu(spark, d):
     return images.map_images(_images(spark, d), "threshold int", lambda x: {"threshold": images.otsu(x)}, ["vec_id"])
