@@ -227,6 +227,137 @@ def inverse_affine(matrix: np.ndarray) -> np.ndarray:
     return np.hstack([m, -(m @ matrix[:, 2])[:, None]])
 
 
+def flatten(gray: np.ndarray, size: int = 31) -> np.ndarray:
+    """Uneven light taken out: each pixel over the mean of its neighbourhood."""
+    s, _, n = window_sums(gray, size)
+    return np.clip(np.round(gray / np.maximum(s / n, 1) * 255), 0, 255).astype(np.uint8)
+
+
+def stretch(gray: np.ndarray, low: float = 1.0, high: float = 99.0) -> np.ndarray:
+    """The range between two percentiles spread over all levels."""
+    a, b = np.percentile(gray, [low, high])
+    return np.clip(np.round((gray - a) / max(b - a, 1) * 255), 0, 255).astype(np.uint8)
+
+
+def equalize(gray: np.ndarray, tiles: int = 8, clip: float = 2.0) -> np.ndarray:
+    """Histograms equalized by tile with limited contrast, tiles blended bilinearly."""
+    h, w = gray.shape
+    ys, xs = np.linspace(0, h, tiles + 1).astype(int), np.linspace(0, w, tiles + 1).astype(int)
+    maps = np.zeros((tiles, tiles, 256))
+    for i in range(tiles):
+        for j in range(tiles):
+            part = gray[ys[i] : max(ys[i + 1], ys[i] + 1), xs[j] : max(xs[j + 1], xs[j] + 1)]
+            n = np.bincount(part.ravel(), minlength=256).astype(float)
+            top = max(1.0, clip * part.size / 256)
+            over = np.maximum(n - top, 0).sum()
+            maps[i, j] = np.cumsum(np.minimum(n, top) + over / 256) * 255 / part.size
+    fy = np.clip((np.arange(h) + 0.5) * tiles / h - 0.5, 0, tiles - 1)
+    fx = np.clip((np.arange(w) + 0.5) * tiles / w - 0.5, 0, tiles - 1)
+    y0, x0 = fy.astype(int), fx.astype(int)
+    y1, x1 = np.minimum(y0 + 1, tiles - 1), np.minimum(x0 + 1, tiles - 1)
+    ay, ax = (fy - y0)[:, None], (fx - x0)[None, :]
+    at = lambda i, j: maps[i[:, None], j[None, :], gray]
+    out = (1 - ay) * ((1 - ax) * at(y0, x0) + ax * at(y0, x1)) + ay * ((1 - ax) * at(y1, x0) + ax * at(y1, x1))
+    return np.clip(np.round(out), 0, 255).astype(np.uint8)
+
+
+def best_channel(rgb: np.ndarray) -> np.ndarray:
+    """The colour channel of greatest spread."""
+    return rgb[..., int(rgb.reshape(-1, rgb.shape[-1]).astype(float).std(axis=0).argmax())]
+
+
+def on_canvas(image: np.ndarray, height: int, width: int, value: int = 255) -> np.ndarray:
+    """The image scaled to fit, in the middle of a canvas."""
+    k = min(height / image.shape[0], width / image.shape[1])
+    rows, cols = (np.minimum((np.arange(max(1, int(n * k))) / k).astype(int), n - 1) for n in image.shape[:2])
+    part = image[rows][:, cols]
+    top, left = (height - part.shape[0]) // 2, (width - part.shape[1]) // 2
+    return pad(part, top, height - part.shape[0] - top, left, width - part.shape[1] - left, value)
+
+
+def smooth(gray: np.ndarray, sigma: float) -> np.ndarray:
+    """Gaussian filter, edges repeated."""
+    n = max(1, int(3 * sigma + 0.5))
+    kernel = np.exp(-0.5 * (np.arange(-n, n + 1) / sigma) ** 2)
+    kernel /= kernel.sum()
+    out = gray.astype(float)
+    for axis in (0, 1):
+        padded = np.pad(out, [(n, n) if a == axis else (0, 0) for a in (0, 1)], mode="edge")
+        out = np.apply_along_axis(lambda v: np.convolve(v, kernel, "valid"), axis, padded)
+    return np.clip(np.round(out), 0, 255).astype(np.uint8)
+
+
+def median_filter(gray: np.ndarray, size: int = 3) -> np.ndarray:
+    padded = np.pad(gray, size // 2, mode="edge")
+    return np.median(np.lib.stride_tricks.sliding_window_view(padded, (size, size)), axis=(2, 3)).astype(np.uint8)
+
+
+def boxes_of_parts(binary: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """Left, top, right, bottom of each ink part."""
+    label, n = components(binary == 0)
+    y, x = np.nonzero(label)
+    k = label[y, x] - 1
+    out = np.array([np.full(n, binary.shape[1]), np.full(n, binary.shape[0]), np.zeros(n, int), np.zeros(n, int)])
+    np.minimum.at(out[0], k, x)
+    np.minimum.at(out[1], k, y)
+    np.maximum.at(out[2], k, x + 1)
+    np.maximum.at(out[3], k, y + 1)
+    return [tuple(map(int, b)) for b in out.T]
+
+
+def drop_small_parts(binary: np.ndarray, always: int = 10, share: tuple[float, float] = (0.04, 0.03), floor: int = 5, near: int = 20, ink: int = 10) -> np.ndarray:
+    """Without ink parts whose sides are both under `always`, or that are small for the page with little ink around them."""
+    h, w = binary.shape
+    small_w, small_h = max(share[0] * w, floor), max(share[1] * h, floor)
+    out = binary.copy()
+    for a, b, c, d in boxes_of_parts(binary):
+        around = (out[max(0, b - near) : d + near, max(0, a - near) : c + near] == 0).sum() - (out[b:d, a:c] == 0).sum()
+        if (c - a < always and d - b < always) or (c - a < small_w and d - b < small_h and around < ink):
+            out[b:d, a:c] = 255
+    return out
+
+
+def curvature(binary: np.ndarray, bands: int = 8) -> float:
+    """How much the height of the ink's centre moves across the page, from 0 to 1 of a band's height."""
+    parts = np.array_split(binary == 0, bands, axis=1)
+    rows = np.arange(binary.shape[0])
+    centres = [float((p.sum(axis=1) * rows).sum() / p.sum()) for p in parts if p.any()]
+    return min(1.0, (max(centres) - min(centres)) * bands / binary.shape[0]) if centres else 0.0
+
+
+def straighten(binary: np.ndarray, bands: int = 16) -> np.ndarray:
+    """Columns shifted so that the ink's centre follows a level line; a quadratic is fitted to the bands' centres."""
+    h, w = binary.shape
+    edges = np.linspace(0, w, bands + 1).astype(int)
+    rows = np.arange(h)
+    at, centre = [], []
+    for a, b in zip(edges, edges[1:], strict=False):
+        ink = (binary[:, a:b] == 0).sum(axis=1)
+        if ink.sum():
+            at.append((a + b) / 2)
+            centre.append((ink * rows).sum() / ink.sum())
+    if len(at) < 3:
+        return binary
+    fit = np.polyval(np.polyfit(at, centre, 2), np.arange(w))
+    shift = np.round(fit - fit.mean()).astype(int)
+    source = rows[:, None] + shift[None, :]
+    inside = (source >= 0) & (source < h)
+    return np.where(inside, binary[np.clip(source, 0, h - 1), np.arange(w)[None, :]], 255).astype(np.uint8)
+
+
+def correct(gray: np.ndarray, curved: float = 0.1) -> dict:
+    """Side, curvature, skew and the corrected binary page: straightened if curved, then sheared level."""
+    binary = binarize(gray)
+    bend = curvature(binary)
+    if bend > curved:
+        binary = straighten(binary)
+    turn = profile_skew(binary)
+    shift = np.round(np.arange(binary.shape[1]) * np.tan(np.radians(turn))).astype(int)
+    source = np.arange(binary.shape[0])[:, None] + shift[None, :]
+    level = np.where((source >= 0) & (source < binary.shape[0]), binary[np.clip(source, 0, binary.shape[0] - 1), np.arange(binary.shape[1])[None, :]], 255)
+    return {"side": gutter_side(gray), "curvature": bend, "skew": turn, "page": level.astype(np.uint8)}
+
+
 def map_images(df: DataFrame, schema: str, kernel: Callable[[np.ndarray], dict], keys: list[str], pixels: str = "pixels", height: str = "height", width: str = "width", channels: str | None = None) -> DataFrame:
     """The keys and what the kernel gives for each image, in Arrow batches."""
     from pyspark.sql.pandas.types import to_arrow_schema

@@ -256,3 +256,90 @@ def project_spans(spans: DataFrame, tokens: DataFrame, page: str) -> DataFrame:
     hit = (F.col("start") < F.col("token_end")) & (F.col("token_start") < F.col("end"))
     return spans.join(tokens, page).where(hit).withColumn("start", F.greatest("start", "token_start") - F.col("token_start")).withColumn("end", F.least("end", "token_end") - F.col("token_start"))
 
+
+
+def hyphen_variants(previous: str, line: str, longest: int = 12) -> list[str]:
+    """What a line may read as if a word was cut at its start or end: with the tail of the line before, or without its own
+    last letters, with and without a hyphen or dash."""
+    out = [line]
+    tail = previous.rstrip("-—").rsplit(" ", 1)[-1]
+    out += [tail[-k:] + line for k in range(1, min(longest, len(tail)) + 1)]
+    last = line.rsplit(" ", 1)[-1]
+    for j in range(1, min(longest, len(last))):
+        out += [line[:-j], line[:-j] + "-", line[:-j] + "—"]
+    return list(dict.fromkeys(out))
+
+
+def best_variant(found: str, previous: str, line: str) -> tuple[int, str]:
+    """(score, variant): the first of the best; letters' case is set aside only where that scores higher."""
+    best = (-1, line)
+    for v in hyphen_variants(previous, line):
+        exact, folded = ratio(found, v), ratio(found.lower(), v.lower())
+        score = folded if folded > exact else exact
+        if score > best[0]:
+            best = (score, v)
+    return best
+
+
+def combined_words(found: list[str], truth: list[str], longest: int = 4, least: int = PAIR_SCORE) -> list[tuple[int, int, int]]:
+    """(first, last + 1, reference index): runs of found words that read as one reference word, best first, none twice."""
+    options = []
+    for i in range(len(found)):
+        for j in range(i + 2, min(len(found), i + longest) + 1):
+            text = "".join(found[i:j])
+            for k, word in enumerate(truth):
+                if (s := ratio(text, word)) >= least and s > max(ratio(x, word) for x in found[i:j]):
+                    options.append((-s, i, j, k))
+    used: set[int] = set()
+    taken: set[int] = set()
+    out = []
+    for _, i, j, k in sorted(options):
+        if k not in taken and not used & set(range(i, j)):
+            used |= set(range(i, j))
+            taken.add(k)
+            out.append((i, j, k))
+    return sorted(out)
+
+
+SOFT_HYPHEN = "­"
+FOLDS = {"‘": "'", "’": "'", "“": '"', "”": '"', "–": "-", "—": "-", "‐": "-", "‑": "-"}
+
+
+def comparison_view(text: str, casefold: bool = True) -> tuple[list[str], list[int], list[tuple[int, str]]]:
+    """(graphemes to compare, source grapheme of each, what was done at which source grapheme)."""
+    view, source, log = [], [], []
+    for i, g in enumerate(GRAPHEME.findall(text)):
+        if g == SOFT_HYPHEN:
+            log.append((i, "soft_hyphen_removed"))
+            continue
+        n = unicodedata.normalize("NFC", g)
+        if n != g:
+            log.append((i, "nfc"))
+        if n in FOLDS:
+            n = FOLDS[n]
+            log.append((i, "punctuation_folded"))
+        if casefold and n != n.casefold():
+            n = n.casefold()
+            log.append((i, "casefolded"))
+        view.append(n)
+        source.append(i)
+    return view, source, log
+
+
+def comparison_text(c: Column) -> Column:
+    """comparison_view() of a column as one string."""
+
+    @F.pandas_udf("string")
+    def view(x: pd.Series) -> pd.Series:
+        return x.map(lambda t: None if t is None else "".join(comparison_view(t)[0]))
+
+    return view(c)
+
+
+def project_relations(words: DataFrame, matched: DataFrame, targets: DataFrame, doc: str) -> DataFrame:
+    """words (doc, pos, ...) with truth from the accepted one-to-one and many-to-one relations of match_documents(); targets
+    are (doc, pos, text)."""
+    relation = matched.where("accepted").select(doc, F.explode("best").alias("r")).where(F.col("r.kind").isin("one_to_one", "sources_to_one"))
+    relation = relation.select(doc, F.col("r.kind").alias("_kind"), F.explode(F.sequence(F.col("r.s0"), F.col("r.s1") - 1)).alias("pos"), F.col("r.t0").alias("_t"))
+    truth = targets.select(doc, F.col("pos").alias("_t"), F.col("text").alias("truth"))
+    return words.join(relation.join(truth, [doc, "_t"]), [doc, "pos"], "left").drop("_t").withColumnRenamed("_kind", "relation")

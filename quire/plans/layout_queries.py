@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.geometry import Box, distance, interval_gap, union_boxes
 from quire.operators import images, layout, reading
+from quire.operators import lines as fragments
 
 from .base import BOXES_SQL, LINE_BOXES_SQL, REGIONS_SQL, line_boxes, query, regions, table, word_boxes
 
@@ -238,3 +239,43 @@ def rotation_argmax(spark, d):
     tries = F.array(*[F.struct(F.lit(rot).alias("rotation"), (c / 100).alias("conf")) for rot, c in ((0, n % 97), (90, n % 53 + 5), (180, n % 71), (270, n % 83))])
     probes = table(spark, d, "documents").select("doc_id", F.inline(tries))
     return images.best_rotation(probes, "doc_id")
+
+
+@query(f"""WITH {LINE_BOXES_SQL}, g AS (SELECT *, median(b - t) OVER (PARTITION BY doc_id) AS h, (SELECT max(length(x)) FROM (SELECT unnest(string_split(text, ' ')) AS x)) AS longest, length(regexp_replace(text, '[^\\p{{L}}\\p{{N}}]', '', 'g')) AS alnum FROM line_boxes)
+ SELECT doc_id, line_no, row, n_words <= 2 AND trim(text) <> '' AND alnum <= 2 AND longest <= 3 AND NOT (n_words = 1 AND length(text) <= 2 AND regexp_matches(text, '\\p{{L}}') AND h > 0 AND b - t >= 1.8 * h) AS weak,
+ regexp_matches(text, '^[\\p{{L}}\\p{{N}}]{{3,5}}$') AND regexp_matches(text, '\\p{{L}}') AND (regexp_matches(text, '\\p{{Nd}}') OR NOT regexp_matches(lower(text), '[aeiouy]') OR NOT regexp_matches(text, '^(?:\\p{{Lu}}+|\\p{{Ll}}+|\\p{{Lu}}\\p{{Ll}}+)$')) AS gibberish FROM g""")
+def noise_lines(spark, d):
+    found = line_boxes(spark, d).withColumn("h", F.median(F.col("b") - F.col("t")).over(Window.partitionBy("doc_id")))
+    longest = F.array_max(F.transform(F.split("text", " "), F.length))
+    return found.select("doc_id", *LINE_KEYS, fragments.is_weak(F.col("text"), F.col("n_words"), longest, F.col("b") - F.col("t"), F.col("h")).alias("weak"), fragments.is_gibberish(F.col("text")).alias("gibberish"))
+
+
+@query(f"""WITH {BOXES_SQL}, x AS (SELECT doc_id, line_no, row, word_no, word, l, t, r, t + CASE WHEN word_no % 12 < 4 + doc_id % 3 THEN 10 ELSE 14 END AS b FROM boxes),
+ o AS (SELECT *, row_number() OVER w AS at_, count(*) OVER (PARTITION BY doc_id, line_no, row) AS n, CASE WHEN lead(l) OVER w IS NOT NULL THEN greatest(lead(l) OVER w - r, 0) END AS gap FROM x WINDOW w AS (PARTITION BY doc_id, line_no, row ORDER BY l, word_no)),
+ far AS (SELECT doc_id, line_no, row, arg_max(at_, row(gap, -at_)) AS cut, max(gap) AS gap, max(n) AS n FROM o WHERE gap IS NOT NULL AND n >= 4 GROUP BY ALL HAVING max(gap) >= 0.022 * 720),
+ s AS (SELECT doc_id, line_no, row, cut, far.n, avg(b - t) FILTER (at_ <= cut) AS hl, avg(b - t) FILTER (at_ > cut) AS hr, max(r) FILTER (at_ <= cut) AS edge, min(l) FILTER (at_ > cut) AS nxt, max(word_no) FILTER (at_ = cut) AS last_left, max(word) FILTER (at_ = cut) AS e, max(word) FILTER (at_ = cut + 1) AS st FROM o JOIN far USING (doc_id, line_no, row) GROUP BY ALL)
+ SELECT doc_id, line_no, row, last_left FROM s WHERE cut >= 2 AND n - cut >= 2 AND edge <= nxt AND greatest(hl, hr) / least(hl, hr) >= 1.2 AND (regexp_matches(st, '^\\p{{Ll}}') OR regexp_matches(e, '[-,]$'))""")
+def mixed_lines_split(spark, d):
+    tall = word_boxes(spark, d).withColumn("b", F.col("t") + F.when(F.col("word_no") % 12 < 4 + F.col("doc_id") % 3, 10).otherwise(14))
+    return fragments.split_mixed(tall, "doc_id", LINE_KEYS, F.lit(720.0))
+
+
+@query()
+def fragments_rejoined(spark, d):
+    half = F.floor(F.col("word_no") % 12 / 6).cast("int")
+    parts = word_boxes(spark, d).withColumn("half", half).groupBy("doc_id", "line_no", "row", "half").agg(*union_boxes())
+    number = (F.col("line_no") * 1000 + F.col("row") * 2 + F.col("half")).cast("int")
+    return fragments.rejoin(parts.select("doc_id", number.alias("line_no"), *"ltrb"), "doc_id")
+
+
+@query()
+def words_grown_to_blocks(spark, d):
+    found = fragments.grown_blocks(word_boxes(spark, d).where("line_no < 4"), "doc_id", ["line_no", "word_no"], 30.0, 15.0)
+    return found.groupBy("doc_id", "block").agg(F.count("*").alias("n_words"), F.min("line_no").alias("first_line"))
+
+
+@query()
+def floated_flow(spark, d):
+    right = F.col("row") % 2 == 1
+    moved = line_boxes(spark, d).withColumn("l", F.when(right, F.col("l") + 400).otherwise(F.col("l"))).withColumn("r", F.when(F.col("row") < 4, F.least(F.col("r"), F.lit(300.0))).otherwise(F.col("r")) + F.when(right, 400).otherwise(0))
+    return fragments.floated(moved, "doc_id", LINE_KEYS, F.lit(1200.0)).groupBy("doc_id", "flow").agg(F.count("*").alias("n_lines"))

@@ -328,3 +328,26 @@ def image_attributes(spark, d):
         return images.page_attributes(x) | {"left": left, "top": top, "right": right, "bottom": bottom, "parts": images.components(images.binarize(x) == 0)[1]}
 
     return images.map_images(_images(spark, d), "blank boolean, plate boolean, centred boolean, left int, top int, right int, bottom int, parts int", kernel, ["vec_id"])
+
+
+@query()
+def comparison_views(spark, d):
+    return lines(spark, d).select("doc_id", "line_no", matching.comparison_text(F.col("line")).alias("view"))
+
+
+@query()
+def truth_projected(spark, d):
+    source = words(spark, d).where("line_no = 0 and word_no < 6").select("doc_id", F.col("word_no").alias("pos"), F.col("word").alias("text"))
+    target = source.where("pos <> 3").withColumn("text", F.upper("text"))
+    matched = matching.match_documents(source, target, "doc_id")
+    return matching.project_relations(source, matched, target, "doc_id")
+
+
+@query()
+def image_corrections(spark, d):
+    def kernel(x):
+        big = images.on_canvas(x, 32, 24)
+        found = images.correct(images.stretch(images.flatten(big, 9)))
+        return {"side": found["side"], "curvature": found["curvature"], "skew": found["skew"], "ink": int((found["page"] == 0).sum()), "parts": len(images.boxes_of_parts(found["page"]))}
+
+    return images.map_images(_images(spark, d), "side string, curvature double, skew double, ink int, parts int", kernel, ["vec_id"])
