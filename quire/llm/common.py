@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import re
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -61,8 +62,14 @@ def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def map_rows(df: DataFrame, schema: StructType | str, make: Callable[[], Callable[[pa.RecordBatch], Iterator[dict] | dict]]) -> DataFrame:
-    """mapInArrow where make() builds, once per task, a function from a record batch to one dict of columns."""
+def forget() -> None:
+    """Let a Python worker drop what an operator before has left there for its later tasks (see tokens.encoder)."""
+    sys.__dict__.pop("_quire_encoders", None)
+
+
+def map_rows(df: DataFrame, schema: StructType | str, make: Callable[[], Callable[[pa.RecordBatch], Iterator[dict] | dict]], keeps: bool = False) -> DataFrame:
+    """mapInArrow where make() builds, once per task, a function from a record batch to one dict of columns; keeps says
+    that it uses what earlier tasks have left in the worker."""
     if isinstance(schema, str):
         schema = StructType.fromDDL(schema)
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -70,6 +77,8 @@ def map_rows(df: DataFrame, schema: StructType | str, make: Callable[[], Callabl
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keeps:
+            forget()
         step = make()
         for batch in batches:
             if batch.num_rows:

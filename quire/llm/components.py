@@ -11,7 +11,8 @@ from .common import materialize
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of edges (a, b); component is the least node.  Every round takes the least
     label among neighbours, then the label's own label, so the rounds are about the logarithm of the longest path."""
-    both = materialize(edges.select(F.col("a").alias("node"), F.col("b").alias("other")).union(edges.select("b", "a")).distinct(), "edges")
+    ways = F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other")), F.struct(F.col("b").alias("node"), F.col("a").alias("other")))
+    both = materialize(edges.select(F.inline(ways)).distinct(), "edges")
     labels = materialize(both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("component")), "labels")
     while True:
         near = both.join(labels.select(F.col("node").alias("other"), "component"), "other").groupBy("node").agg(F.min("component").alias("near"))

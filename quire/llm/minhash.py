@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, materialize
+from .common import forget, map_rows, materialize
 from .components import components
 
 BANDS = 32
@@ -36,6 +36,8 @@ ROWS = 6
 BATCH = 32
 MISS = 1e-6
 ROUNDS = 3
+BLOCK = 1024
+BROADCAST_IDS = 1_000_000
 MEMO_WORDS = 200_000
 
 
@@ -129,6 +131,7 @@ def likely(pairs: DataFrame, stand: DataFrame, count: int, threshold: float, mis
     need = least_matches(count, threshold, miss)
 
     def run(batches):
+        forget()
         for batch in batches:
             if batch.num_rows:
                 left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype="<u2").reshape(-1, count) for c in ("sig_a", "sig_b"))
@@ -148,6 +151,7 @@ def linked(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> Dat
     joined = pairs.join(text("b"), "b").join(text("a"), "a").select("a", "b", "text_a", "text_b")
 
     def run(batches):
+        forget()
         hashes, last, first = WordHashes(), None, None
         for batch in batches:
             keep = []
@@ -162,6 +166,13 @@ def linked(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> Dat
     return joined.mapInArrow(run, pairs.schema)
 
 
+def pick(rows: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
+    """rows whose id is (or isn't: left_anti) among ids; up to BROADCAST_IDS ids are sent to the rows, more are joined by
+    a shuffle."""
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return rows.join(F.broadcast(ids) if few else ids, "id", how)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, rounds: int = ROUNDS, miss: float = MISS) -> DataFrame:
     """(id, n_shingles, component_id, kept) of every row: the least id that links lead to, and whether it is the row's."""
     signed = materialize(signatures(docs, id_col, text_col, shingle, bands, rows), "signatures")
@@ -169,28 +180,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = materialize(own.groupBy("digest").agg(F.min("id").alias("rep")), "classes")
     stand = materialize(own.join(classes, (own["digest"] == classes["digest"]) & (own["id"] == classes["rep"])).select("id", "sig", "bands").dropDuplicates(["id"]), "representatives")
     member = stand.select("id", F.posexplode("bands").alias("band", "key")).select("id", F.xxhash64("band", "key").alias("bucket"))
-    shared = member.groupBy("bucket").agg(F.count("*").alias("times")).where("times > 1").select("bucket")
-    member = materialize(member.join(shared, "bucket"), "members")
+    shared = member.groupBy("bucket").agg(F.count("*").alias("times"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("same")).where("times > 1")
+    shared = shared.groupBy("times", "same").agg(F.min("bucket").alias("bucket"))
+    member = materialize(member.join(shared.select("bucket", "times"), "bucket"), "members")
+    stand = materialize(pick(stand.select("id", "sig"), member.select("id").distinct()), "compared")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     label = member.select("id").distinct().withColumn("component", F.col("id"))
     tested = None
     for turn in range(rounds + 1):
-        pairs = _star(member, label, turn) if turn < rounds else _rest(member, label)
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "pairs")
-        if pairs.isEmpty():
-            if turn < rounds:
-                continue
-            break
-        tested = pairs if tested is None else tested.union(pairs)
-        survivors = materialize(likely(pairs, stand, bands * rows, percent / 100, miss), "survivors")
-        involved = survivors.select(F.col("a").alias("id")).union(survivors.select("b")).distinct()
-        involved = texts.join(involved, "id", "left_semi").dropDuplicates(["id"])
-        links = linked(survivors, involved, shingle, percent)
+        if turn < rounds:
+            pairs = _star(member, label, turn)
+            if tested is not None:
+                pairs = pairs.join(tested, ["a", "b"], "left_anti")
+            pairs = materialize(pairs, "pairs")
+            tested = pairs if tested is None else tested.union(pairs)
+            survivors = materialize(likely(pairs, stand, bands * rows, percent / 100, miss), "survivors")
+            involved = survivors.select(F.col("a").alias("id")).union(survivors.select("b")).distinct()
+            links = linked(survivors, pick(texts, involved).dropDuplicates(["id"]), shingle, percent)
+        else:
+            links = _rest(member, label, stand, texts, shingle, percent, bands * rows, miss)
         ends = links.join(label.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a").join(label.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b")
-        merged = components(ends.where("ca != cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
-        merged = merged.select(F.col("node").alias("component"), F.col("component").alias("_to"))
+        merging = materialize(ends.where("ca != cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")), "links")
+        if merging.isEmpty():
+            continue
+        merged = components(merging).select(F.col("node").alias("component"), F.col("component").alias("_to"))
         label = materialize(label.join(merged, "component", "left").select("id", F.coalesce("_to", "component").alias("component")), "components")
     named = classes.join(label.select(F.col("id").alias("rep"), "component"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     out = signed.select("id", "n", "digest").join(named, "digest", "left").withColumn("component_id", F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")))
@@ -199,26 +212,104 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def _star(member: DataFrame, label: DataFrame, turn: int) -> DataFrame:
     """In each bucket of several components, each member with the bucket's pivot of this turn, if that is of another
-    component.  Buckets fall into four kinds with pivots of their own, so that a group of copies gets several."""
+    component."""
     known = member.join(label, "id")
-    place = F.struct(F.xxhash64("id", F.lit(turn), F.pmod("bucket", F.lit(4))).alias("h"), "id", "component")
+    place = F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", "component")
     pivot = known.groupBy("bucket").agg(F.min(place).alias("p"), F.min("component").alias("low"), F.max("component").alias("high")).where("low != high")
     pairs = known.join(pivot.select("bucket", "p"), "bucket").where(F.col("component") != F.col("p.component"))
     return pairs.select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b")).distinct()
 
 
-def _rest(member: DataFrame, label: DataFrame) -> DataFrame:
-    """In each bucket of several components, the members outside its largest one with all members of others."""
+def _rest(member: DataFrame, label: DataFrame, stand: DataFrame, texts: DataFrame, shingle: int, percent: int, count: int, miss: float) -> DataFrame:
+    """Links (a, b) between different components within the buckets that still have several, all pairs compared."""
     known = member.join(label, "id")
-    sizes = known.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-    largest = sizes.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("most"), F.count("*").alias("kinds")).where("kinds > 1")
-    known = known.join(largest.select("bucket", F.col("most.component").alias("largest")), "bucket")
-    outside = known.where(F.col("component") != F.col("largest")).select("bucket", F.col("id").alias("x"), F.col("component").alias("cx"))
-    pairs = known.join(outside, "bucket").where(F.col("component") != F.col("cx"))
-    return pairs.select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct()
+    mixed = known.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("id").alias("first")).where("low != high")
+    rest = materialize(known.join(mixed.select("bucket", "first"), "bucket").select("bucket", "times", "first", "id", "component"), "rest")
+    large = components(rest.where(F.col("times") > BLOCK).select(F.col("first").alias("a"), F.col("id").alias("b")))
+    grouped = rest.select("id", "component").distinct().join(large.select(F.col("node").alias("id"), F.col("component").alias("team")), "id").select(F.col("team").cast("string").alias("team"), "id", "component")
+    apart = rest.where(F.col("times") <= BLOCK).select(F.concat(F.lit("b"), F.col("bucket").cast("string")).alias("team"), "id", "component")
+    teams = grouped.unionByName(apart)
+    split = teams.groupBy("team").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    rows = teams.join(split, "team").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    rows = rows.select("team", "id", "component", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    rows = rows.select("team", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component")
+    involved = pick(texts, rest.select("id").distinct()).dropDuplicates(["id"])
+    rows = rows.join(stand.select("id", "sig"), "id").join(involved, "id")
+    need = least_matches(count, percent / 100, miss)
+
+    def compare(held: list[tuple], across: bool, hashes: WordHashes) -> list[tuple]:
+        ids, parts, own, sigs, text = zip(*held, strict=True)
+        root = {p: p for p in parts}
+
+        def top(p):
+            while root[p] != p:
+                root[p] = root[root[p]]
+                p = root[p]
+            return p
+
+        sets: dict[int, frozenset] = {}
+
+        def full(x: int) -> frozenset:
+            if x not in sets:
+                sets[x] = frozenset(shingle_set(text[x], shingle, hashes).tolist())
+            return sets[x]
+
+        sig = np.frombuffer(b"".join(sigs), dtype="<u2").reshape(-1, count)
+        side, part = np.array(own), np.unique(np.array(parts), return_inverse=True)[1]
+        found = []
+        for x in range(len(ids) - 1):
+            apart = part[x + 1 :] != part[x]
+            alive = np.flatnonzero(apart & (side[x + 1 :] != side[x]) if across else apart) + x + 1
+            matches = np.zeros(len(ids), dtype=np.int64)
+            for n, least in need:
+                if not len(alive):
+                    break
+                matches[alive] += (sig[alive, n - BATCH : n] == sig[x, n - BATCH : n]).sum(axis=1)
+                alive = alive[matches[alive] >= least]
+            for y in alive.tolist():
+                if (p := top(parts[x])) != (q := top(parts[y])):
+                    a, b = full(x), full(y)
+                    both = len(a & b)
+                    if 100 * both >= percent * (len(a) + len(b) - both):
+                        root[q] = p
+                        found.append((ids[x], ids[y]))
+        return found
+
+    def run(batches):
+        forget()
+        held: list[tuple] = []
+        ready: list[tuple] = []
+        hashes = WordHashes()
+        key, kind = None, pa.int64()
+
+        def emit():
+            a, b = zip(*ready, strict=True)
+            ready.clear()
+            return pa.RecordBatch.from_arrays([pa.array(a, type=kind), pa.array(b, type=kind)], names=["a", "b"])
+
+        for batch in batches:
+            kind = batch.column("id").type
+            for team, i, j, own, x, part, sig, text in zip(*(batch.column(c).to_pylist() for c in ("team", "i", "j", "own", "id", "component", "sig", "text")), strict=True):
+                if key != (team, i, j):
+                    if len(held) > 1:
+                        ready.extend(compare(held, key[1] != key[2], hashes))
+                    held.clear()
+                    key = (team, i, j)
+                held.append((x, part, own, sig, text))
+            if ready:
+                yield emit()
+        if len(held) > 1:
+            ready.extend(compare(held, key[1] != key[2], hashes))
+        if ready:
+            yield emit()
+
+    id_type = member.schema["id"].dataType.simpleString()
+    ordered = rows.repartition("team", "i", "j").sortWithinPartitions("team", "i", "j")
+    return ordered.mapInArrow(run, f"a {id_type}, b {id_type}")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs, with all their columns, less the rows that are not their component's least id."""
-    gone = near_duplicates(docs, id_col, text_col, **options).where("not kept").select(F.col(id_col).alias("_gone"))
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    gone = materialize(near_duplicates(docs, id_col, text_col, **options).where("not kept").select(F.col(id_col).alias("id")), "gone")
+    whole_row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"))
+    return pick(whole_row, gone, "left_anti").select("row.*")

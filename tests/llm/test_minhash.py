@@ -67,7 +67,8 @@ def test_equals_brute_force(spark):
         assert {x.doc_id for x in left.collect()} == {x.doc_id for x in got if x.kept}
 
 
-def test_the_exact_way_needs_no_rounds(spark):
+def test_the_exact_way_needs_no_rounds(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 50)
     rows = corpus(random.Random(3))
     got = minhash.near_duplicates(spark.createDataFrame([("x", d, t, 1, None) for d, t in rows], SCHEMA), shingle=2, rounds=0).collect()
     assert {(x.doc_id, x.n_shingles, x.component_id) for x in got} == brute(rows, 2)
