@@ -68,3 +68,23 @@ def verdict(rules: dict[str, DataFrame]) -> DataFrame:
 def decided(decision: Column, replacement: Column, digest: Column) -> Column:
     """Whether an accepted decision has its replacement and hash, and a rejected one neither."""
     return F.when(decision == "accepted", replacement.isNotNull() & digest.isNotNull()).otherwise(replacement.isNull() & digest.isNull())
+
+
+def unknown_values(df: DataFrame, column: str, known: DataFrame, value: str) -> DataFrame:
+    """Rows whose value is not in a vendored list (licenses, tags, taxonomies)."""
+    return df.join(known.select(F.col(value).alias("_known")).distinct(), F.col(column) == F.col("_known"), "left_anti")
+
+
+def with_blobs(df: DataFrame, digest: str, blobs: DataFrame, content: str = "content") -> DataFrame:
+    """df with the content whose SHA-256 it names, null where there is none; the join is pruned where content isn't read."""
+    found = blobs.select(F.sha2(F.col(content), 256).alias(digest), F.col(content)).dropDuplicates([digest])
+    return df.join(found, digest, "left")
+
+
+def glyphs_fit(text: Column, ligatures: Column, long_s: Column) -> Column:
+    """Whether ligature spans (start, end) lie inside the text and the long-s positions hold an s; null lists are not
+    reviewed and fit."""
+    n = F.length(text)
+    inside = F.forall(ligatures, lambda x: (x["start"] >= 0) & (x["start"] < x["end"]) & (x["end"] <= n))
+    on_s = F.forall(long_s, lambda p: (p >= 0) & (p < n) & F.substring(text, p + 1, F.lit(1)).isin("s", "ſ"))
+    return F.coalesce(inside, F.lit(True)) & F.coalesce(on_s, F.lit(True))

@@ -65,3 +65,14 @@ def closest_line(lines: DataFrame, page: str, x: Column, y: Column, line: str =
     at_height = y.between(F.col("t"), F.col("b"))
     away = F.when(at_height, F.abs(middle_x - x)).otherwise(F.abs(middle_y - y))
     return lines.groupBy(page).agg(F.min(F.struct((~at_height).alias("a"), away.alias("b"), F.col(line).alias("c"))).alias("_m")).select(page, F.col("_m.c").alias(line))
+
+
+def baselines(words: DataFrame, line: list[str]) -> DataFrame:
+    """(line, slope, intercept) of the straight line through the bottoms of a line's words."""
+    x = (F.col("l") + F.col("r")) / 2
+    return words.groupBy(*line).agg(F.regr_slope("b", x).alias("slope"), F.regr_intercept("b", x).alias("intercept"))
+
+
+def corners(width: Column, height: Column) -> Column:
+    """The four corners of a box in unit coordinates, clockwise from the top left."""
+    return F.array(*[F.array(F.col(a) / width, F.col(b) / height) for a, b in (("l", "t"), ("r", "t"), ("r", "b"), ("l", "b"))])

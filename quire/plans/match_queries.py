@@ -351,3 +351,27 @@ def image_corrections(spark, d):
         return {"side": found["side"], "curvature": found["curvature"], "skew": found["skew"], "ink": int((found["page"] == 0).sum()), "parts": len(images.boxes_of_parts(found["page"]))}
 
     return images.map_images(_images(spark, d), "side string, curvature double, skew double, ink int, parts int", kernel, ["vec_id"])
+
+
+@query(f"WITH {BOXES_SQL} SELECT doc_id, line_no, row, round(regr_slope(b, (l + r) / 2), 6) AS slope, round(regr_intercept(b, (l + r) / 2), 6) AS intercept FROM boxes GROUP BY ALL HAVING count(*) >= 2")
+def line_baselines(spark, d):
+    found = word_boxes(spark, d)
+    many = found.groupBy("doc_id", "line_no", "row").agg(F.count("*").alias("n")).where("n >= 2").drop("n")
+    fitted = edits.baselines(found.join(many, ["doc_id", "line_no", "row"], "left_semi"), ["doc_id", "line_no", "row"])
+    return fitted.select("doc_id", "line_no", "row", F.round("slope", 6).alias("slope"), F.round("intercept", 6).alias("intercept"))
+
+
+@query(f"WITH {WORDS_SQL} SELECT doc_id, line_no, word_no, contains(word, 's') AND length(word) > 2 AS fits FROM words WHERE line_no = 0")
+def glyph_annotations_fit(spark, d):
+    ligature = F.array(F.struct(F.lit(0).alias("start"), F.lit(3).alias("end")))
+    found = words(spark, d).where("line_no = 0")
+    return found.select("doc_id", "line_no", "word_no", contracts.glyphs_fit(F.col("word"), ligature, F.array(F.instr("word", "s") - 1)).alias("fits"))
+
+
+@query("""SELECT p.page_id, length(d.text) AS n_chars FROM pages p LEFT JOIN (SELECT sha256(text) AS h, any_value(text) AS text FROM documents GROUP BY 1) d ON d.h = (SELECT sha256(text) FROM documents WHERE doc_id = p.page_id) WHERE p.page_id % 2 = 0
+ UNION ALL SELECT page_id, NULL FROM pages WHERE page_id % 2 = 1""")
+def blobs_by_hash(spark, d):
+    blobs = table(spark, d, "documents").select(F.col("text").alias("content"))
+    digest = table(spark, d, "documents").select(F.col("doc_id").alias("page_id"), F.sha2("text", 256).alias("sha"))
+    pages = table(spark, d, "pages").select("page_id").join(digest, "page_id", "left").withColumn("sha", F.when(F.col("page_id") % 2 == 0, F.col("sha")).otherwise("none"))
+    return contracts.with_blobs(pages, "sha", blobs).select("page_id", F.length("content").cast("long").alias("n_chars"))
