@@ -74,4 +74,14 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_html_extraction, op3_line_dedup, op4_language_id, op5_best_fit_packing, op6_minhash_near_duplicates, op7_sharding, op8_token_files, op9_benchmark_leaks, op10_quality_rules)}
-ORACLE_SQL: dict[str, str] = {}
+#: All pairs of texts by an inverted index of whole shingle sets, and reachability; none of the bands or bounds.
+OP6_SQL = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+ s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) = 1 THEN [ws[1]] ELSE list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) END AS sh FROM w),
+ n AS (SELECT doc_id, len(sh) AS n FROM s), x AS (SELECT doc_id, unnest(sh) AS t FROM s),
+ shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM x a JOIN x b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY ALL),
+ link AS (SELECT a, b FROM shared JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * i >= 80 * (p.n + q.n - i)),
+ edge AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+ reach(v, u) AS (SELECT doc_id, doc_id FROM n UNION SELECT v, b FROM reach JOIN edge ON u = a)
+ SELECT doc_id, n AS n_shingles, min(u) AS component_id, doc_id = min(u) AS kept FROM n JOIN reach ON v = doc_id GROUP BY doc_id, n"""
+
+ORACLE_SQL: dict[str, str] = {"op6_minhash_near_duplicates": OP6_SQL}
