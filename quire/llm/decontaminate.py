@@ -1,10 +1,11 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming search, exact similarity.
 
 An item's shingles are runs of five words (A-Z in lower case), each weighted by its length in bytes, so that short and
-common words count less, whatever block of items is searched.  A window of an item's length that shares no shingle with the item has similarity 0; so windows are laid wherever they hold a shingle
-of an item of their length, at every place, cut off at the text's ends.  Every such window gets a SimHash; a multi-index over blocks of
-the items' SimHashes (probing each block within its share of the radius) returns every item within RADIUS bits; an item
-is found if the weighted Jaccard similarity of window and item is at least 0.8.
+common words count less, whatever block of items is searched.  A window of an item's length that shares no shingle with
+the item has similarity 0; so windows are laid wherever they hold a shingle of an item of their length, at every place,
+cut off at the text's ends.  Every such window gets a SimHash; a multi-index over blocks of the items' SimHashes (probing
+each block within its share of the radius) returns every item within RADIUS bits; an item is found if the weighted
+Jaccard similarity of window and item is at least 0.8.
 
 The benchmark is sent to the executors in blocks of BLOCK_BYTES of text; one pass over the documents is made for each
 block, so a benchmark of any size works.  Null or empty texts and items, and items of fewer than five words, match
@@ -23,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import forget
+
 SHINGLE = 5
 SIMILARITY = 0.8
 RADIUS = 22
@@ -170,6 +173,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
         index = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+            forget()
             search = Index(index.value).search
             for batch in batches:
                 at, rows = [], []
@@ -191,6 +195,7 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
         index = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+            forget()
             search = Index(index.value).search
             for batch in batches:
                 yield batch.filter(pa.array([not search(t) for t in batch.column(at).to_pylist()], type=pa.bool_()))

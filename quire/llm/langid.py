@@ -17,13 +17,14 @@ equal results; other columns are ignored; no rows: no rows.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows
+from .common import forget, map_rows
 
 SAMPLE_DOCS = 300
 SEQUENCES = 4
@@ -32,7 +33,7 @@ SWITCHED = 0.3
 EPOCHS = 40
 MIN_COUNT = 3
 MEMO_WORDS = 200_000
-SLICE_WORDS = 1_500_000
+SLICE_WORDS = 250_000
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -188,69 +189,88 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     return fit(sequences, languages) if sequences else None
 
 
-def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
-    """(id, lang_pred, score, shares array<double>: the mean marginal of each of the model's languages); with keep, all
-    columns of docs come first (those named lang_pred, score or shares are replaced)."""
+def labeller(shared) -> Callable[[list[str | None]], tuple[list[str], list[float], list]]:
+    """A function from texts to their languages, scores and shares; shared is a broadcast of Model.parts() or None."""
+    known = Model(*shared.value) if shared.value else None
+    trans = np.exp(known.transitions).astype(np.float32) if known else None
+    memo: dict[str, int] = {}
+    table = np.zeros((0, len(known.languages) if known else 0), dtype=np.float32)
+
+    def sums(texts: list[list[str]]) -> np.ndarray:
+        """[text, language] sums of marginals."""
+        nonlocal table
+        if len(memo) > MEMO_WORDS:
+            memo.clear()
+            table = table[:0]
+        flat = [w for t in texts for w in t]
+        place = list(map(memo.get, flat))
+        if None in place:
+            new = list({w for w, p in zip(flat, place, strict=True) if p is None})
+            parts, begin = _flat(new, known.numbers)
+            score = np.add.reduceat(known.weights[parts], begin)
+            memo.update(zip(new, range(len(table), len(table) + len(new)), strict=True))
+            table = np.concatenate([table, np.exp(score - score.max(axis=1, keepdims=True)).astype(np.float32)])
+            place = list(map(memo.__getitem__, flat))
+        sizes = np.array([len(t) for t in texts], dtype=np.int64)
+        gamma, _, _ = forward_backward(np.maximum(table[np.array(place, dtype=np.int64)], 1e-12), sizes, trans)
+        return np.add.reduceat(gamma, np.cumsum(sizes) - sizes, dtype=np.float64)
+
+    def label(column: list[str | None]) -> tuple[list[str], list[float], list]:
+        lang, score, shares = ["und"] * len(column), [0.0] * len(column), [None] * len(column)
+        held, texts, n = [], [], 0
+
+        def flush():
+            if texts:
+                for i, t, s in zip(held, texts, sums(texts), strict=True):
+                    s = s / len(t)
+                    best = int(s.argmax())
+                    lang[i], score[i], shares[i] = known.languages[best], float(min(1.0, s[best])), s
+            held.clear()
+            texts.clear()
+
+        # by length, so that few slices need as many steps as the longest texts have words
+        for i in sorted(range(len(column)), key=lambda i: len(column[i] or "")) if known else ():
+            if words := split_words(column[i]):
+                held.append(i)
+                texts.append(words)
+                n += len(words)
+                if n >= SLICE_WORDS:
+                    flush()
+                    n = 0
+        flush()
+        return lang, score, shares
+
+    return label
+
+
+def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, lang_pred, score, shares array<double>: the mean marginal of each of the model's languages)."""
     shared = docs.sparkSession.sparkContext.broadcast(model.parts() if model else None)
-    base = docs.drop("lang_pred", "score", "shares") if keep else docs.select(id_col, text_col)
-    at = base.columns.index(text_col)
-    names = base.columns if keep else [id_col]
 
     def make():
-        known = Model(*shared.value) if shared.value else None
-        trans = np.exp(known.transitions).astype(np.float32) if known else None
-        memo: dict[str, int] = {}
-        table = np.zeros((0, len(known.languages) if known else 0), dtype=np.float32)
-
-        def label(texts: list[list[str]]) -> np.ndarray:
-            """[text, language] sums of marginals."""
-            nonlocal table
-            if len(memo) > MEMO_WORDS:
-                memo.clear()
-                table = table[:0]
-            flat = [w for t in texts for w in t]
-            place = list(map(memo.get, flat))
-            if None in place:
-                new = list({w for w, p in zip(flat, place, strict=True) if p is None})
-                parts, begin = _flat(new, known.numbers)
-                score = np.add.reduceat(known.weights[parts], begin)
-                memo.update(zip(new, range(len(table), len(table) + len(new)), strict=True))
-                table = np.concatenate([table, np.exp(score - score.max(axis=1, keepdims=True)).astype(np.float32)])
-                place = list(map(memo.__getitem__, flat))
-            sizes = np.array([len(t) for t in texts], dtype=np.int64)
-            gamma, _, _ = forward_backward(np.maximum(table[np.array(place, dtype=np.int64)], 1e-12), sizes, trans)
-            return np.add.reduceat(gamma, np.cumsum(sizes) - sizes, dtype=np.float64)
+        label = labeller(shared)
 
         def step(batch: pa.RecordBatch) -> dict:
-            lang, score, shares = ["und"] * batch.num_rows, [0.0] * batch.num_rows, [None] * batch.num_rows
-            held, texts, n = [], [], 0
-
-            def flush():
-                if texts:
-                    for i, t, s in zip(held, texts, label(texts), strict=True):
-                        s = s / len(t)
-                        best = int(s.argmax())
-                        lang[i], score[i], shares[i] = known.languages[best], float(min(1.0, s[best])), s
-                held.clear()
-                texts.clear()
-
-            for i, text in enumerate(batch.column(at).to_pylist() if known else ()):
-                if words := split_words(text):
-                    held.append(i)
-                    texts.append(words)
-                    n += len(words)
-                    if n >= SLICE_WORDS:
-                        flush()
-                        n = 0
-            flush()
-            return {c: batch.column(c) for c in names} | {"lang_pred": lang, "score": score, "shares": shares}
+            lang, score, shares = label(batch.column(1).to_pylist())
+            return {id_col: batch.column(0), "lang_pred": lang, "score": score, "shares": shares}
 
         return step
 
-    from pyspark.sql.types import ArrayType, DoubleType, StringType, StructType
+    return map_rows(docs.select(id_col, text_col), f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, lang_pred string, score double, shares array<double>", make)
 
-    schema = StructType([base.schema[c] for c in names]).add("lang_pred", StringType()).add("score", DoubleType()).add("shares", ArrayType(DoubleType()))
-    return map_rows(base, schema, make)
+
+def keep_known(docs: DataFrame, model: Model | None, text_col: str = "text", min_score: float = 0.0) -> DataFrame:
+    """docs, with all their columns, without the rows of language `und` or of a score under min_score."""
+    shared, at = docs.sparkSession.sparkContext.broadcast(model.parts() if model else None), docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+        label = labeller(shared)
+        for batch in batches:
+            lang, score, _ = label(batch.column(at).to_pylist())
+            yield batch.filter(pa.array([x != "und" and s >= min_score for x, s in zip(lang, score, strict=True)], type=pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def held_out(id_col: str = "doc_id") -> Column:

@@ -175,7 +175,7 @@ def pick(rows: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, rounds: int = ROUNDS, miss: float = MISS) -> DataFrame:
     """(id, n_shingles, component_id, kept) of every row: the least id that links lead to, and whether it is the row's."""
-    signed = materialize(signatures(docs, id_col, text_col, shingle, bands, rows), "signatures")
+    signed = materialize(signatures(docs, id_col, text_col, shingle, bands, rows), "signatures", batch_rows=2500)
     own = signed.where("digest is not null and id is not null")
     classes = materialize(own.groupBy("digest").agg(F.min("id").alias("rep")), "classes")
     stand = materialize(own.join(classes, (own["digest"] == classes["digest"]) & (own["id"] == classes["rep"])).select("id", "sig", "bands").dropDuplicates(["id"]), "representatives")
@@ -229,8 +229,10 @@ def _rest(member: DataFrame, label: DataFrame, stand: DataFrame, texts: DataFram
     grouped = rest.select("id", "component").distinct().join(large.select(F.col("node").alias("id"), F.col("component").alias("team")), "id").select(F.col("team").cast("string").alias("team"), "id", "component")
     apart = rest.where(F.col("times") <= BLOCK).select(F.concat(F.lit("b"), F.col("bucket").cast("string")).alias("team"), "id", "component")
     teams = grouped.unionByName(apart)
-    split = teams.groupBy("team").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    rows = teams.join(split, "team").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    split = materialize(teams.groupBy("team").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("blocks > 1"), "blocks")
+    few = split.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    rows = teams.join(F.broadcast(split) if few else split, "team", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     rows = rows.select("team", "id", "component", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     rows = rows.select("team", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component")
     involved = pick(texts, rest.select("id").distinct()).dropDuplicates(["id"])

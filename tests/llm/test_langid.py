@@ -42,12 +42,14 @@ def test_held_out_accuracy(spark):
     rows = corpus()
     df = spark.createDataFrame([(l, "x", 1, t, i) for i, t, l in rows], "lang string, lang_pred string, score int, text string, doc_id bigint")  # noqa: E741
     model = langid.train(df.where(~langid.held_out()))
-    got = langid.predict(df, model, keep=True)
-    assert got.columns == ["lang", "text", "doc_id", "lang_pred", "score", "shares"]
-    got = got.where(langid.held_out()).collect()
+    truth = {i: l for i, _, l in rows}  # noqa: E741
+    got = langid.predict(df, model).where(langid.held_out()).collect()
     assert len(got) > 150
-    assert sum(x.lang == x.lang_pred for x in got) / len(got) > 0.97
+    assert sum(truth[x.doc_id] == x.lang_pred for x in got) / len(got) > 0.97
     assert all(0 <= x.score <= 1 for x in got)
+    extra = df.union(spark.createDataFrame([("aa", "x", 1, None, 9001), ("aa", "x", 1, "1 2", 9002)], df.schema))
+    kept = langid.keep_known(extra, model)
+    assert kept.columns == df.columns and {x.doc_id for x in kept.collect()} == set(truth)
 
 
 def test_words_of_switched_text_are_labelled():
