@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import re
+import shutil
 import sys
 import tempfile
 import uuid
@@ -31,9 +34,10 @@ def shared_root(spark: SparkSession) -> str:
         return root.rstrip("/")
     if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    root = f"file://{tempfile.mkdtemp(prefix='quire-')}"
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    folder = tempfile.mkdtemp(prefix="quire-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    spark.conf.set("spark.checkpoint.dir", f"file://{folder}")
+    return f"file://{folder}"
 
 
 def work_path(spark: SparkSession, name: str) -> str:
@@ -55,16 +59,35 @@ def release() -> None:
         jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
-def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Write a frame to the shared folder once and read it back: cuts lineage, survives lost executors."""
-    path = work_path(df.sparkSession, name)
-    df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def materialize(df: DataFrame, name: str, codec: str = "zstd", batch_rows: int | None = None) -> DataFrame:
+    """Write a frame to the shared folder once and read it back: cuts lineage, survives lost executors.  batch_rows bounds
+    the rows of an Arrow batch while it is written, for functions that hold much memory besides."""
+    spark, key = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    path, before = work_path(spark, name), spark.conf.get(key)
+    if batch_rows:
+        spark.conf.set(key, batch_rows)
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        spark.conf.set(key, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def forget() -> None:
-    """Let a Python worker drop what an operator before has left there for its later tasks (see tokens.encoder)."""
+    """Let a Python worker drop what an operator before has left there for its later tasks (see tokens.encoder), and give
+    back what it has freed; each task of an operator begins with this."""
     sys.__dict__.pop("_quire_encoders", None)
+    gc.collect()
+    trim()
+
+
+def trim() -> None:
+    """Give memory that a Python worker has freed, but still holds, back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def map_rows(df: DataFrame, schema: StructType | str, make: Callable[[], Callable[[pa.RecordBatch], Iterator[dict] | dict]], keeps: bool = False) -> DataFrame:

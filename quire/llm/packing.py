@@ -167,7 +167,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
         spec = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def make():
-        enc = tokens.encoder(spec.value)
+        enc = tokens.encoder(spec.value, tokens.SMALL_MEMO_ENTRIES, tidy=True)
 
         def step(batch: pa.RecordBatch) -> dict:
             at, rows = [], []
@@ -181,7 +181,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
 
         return step
 
-    return map_rows(docs.select(id_col, text_col), f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, piece int, start bigint, length bigint, ids_crc32 bigint", make)
+    return map_rows(docs.select(id_col, text_col), f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, piece int, start bigint, length bigint, ids_crc32 bigint", make, keeps=True)
 
 
 def pack(items: DataFrame, key_cols: list[str], length_col: str = "length", capacity: int = CAPACITY) -> DataFrame:
@@ -215,5 +215,5 @@ def pack(items: DataFrame, key_cols: list[str], length_col: str = "length", capa
 
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """Every document's pieces with their places in sequences of the capacity."""
-    stored = materialize(pieces(docs, id_col, text_col, path, capacity), "pieces")
+    stored = materialize(pieces(docs, id_col, text_col, path, capacity), "pieces", batch_rows=tokens.BATCH_ROWS)
     return pack(stored, [id_col, "piece"], "length", capacity)

@@ -88,11 +88,15 @@ def encode_ids(ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> tuple
     at = end - size
     value = codes[ids].astype(np.uint64) << (np.uint64(64) - (at & 31).astype(np.uint64) - size.astype(np.uint64))
     word = at >> 5
-    n = int(end[-1] + 31 >> 5) + 1 if len(ids) else 1
-    high = np.bincount(word, weights=(value >> np.uint64(32)).astype(np.float64), minlength=n + 1)
-    high[1:] += np.bincount(word, weights=(value & np.uint64(0xFFFFFFFF)).astype(np.float64), minlength=n)[: len(high) - 1]
-    raw = high.astype(np.uint32).astype(">u4").tobytes()
-    return raw[: int(end[-1] + 7 >> 3) if len(ids) else 0], at[::CHECKPOINT].astype(np.int32)
+    if not len(ids):
+        return b"", at[::CHECKPOINT].astype(np.int32)
+    # a code lies in one 32-bit word and the next; codes don't overlap, so sums are unions
+    first = np.flatnonzero(np.diff(word, prepend=-1))
+    out = np.zeros(int(word[-1]) + 2, dtype=np.uint64)
+    out[word[first]] = np.add.reduceat(value >> np.uint64(32), first)
+    out[word[first] + 1] += np.add.reduceat(value & np.uint64(0xFFFFFFFF), first)
+    raw = out.astype(np.uint32).astype(">u4").tobytes()
+    return raw[: int(end[-1] + 7 >> 3)], at[::CHECKPOINT].astype(np.int32)
 
 
 def decode_blocks(payloads: list[bytes], checkpoints: list[np.ndarray], sizes: list[int], table: tuple[np.ndarray, np.ndarray, int]) -> list[np.ndarray]:
@@ -118,20 +122,20 @@ def decode_blocks(payloads: list[bytes], checkpoints: list[np.ndarray], sizes: l
     return found
 
 
-def count_ids(ids: DataFrame, id_bytes: int) -> np.ndarray:
-    """How often each id occurs in all rows of tokens.tokenize()."""
+def count_ids(tokens_of: DataFrame) -> np.ndarray:
+    """How often each id occurs in all documents, from the tasks' counts of tokens.tokenize(); what meets on the driver is one
+    number per vocabulary entry."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1, dtype=np.int64)
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(0, dtype=np.int64)
         for batch in batches:
-            got = np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype=f"<u{id_bytes}"))
-            if len(got) > len(total):
-                total, got = got, total
-            total[: len(got)] += got
+            for raw in batch.column(0).to_pylist():
+                got = np.frombuffer(raw, dtype="<i8")
+                total = got.copy() if not len(total) else total + got
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, type=pa.int64()), pa.array(total[used], type=pa.int64())], names=["id", "n"])
 
-    rows = ids.select("ids").mapInArrow(run, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).toArrow().to_pydict()
+    rows = tokens_of.where("counts is not null").select("counts").mapInArrow(parts, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).toArrow().to_pydict()
     out = np.zeros(max(rows["id"], default=0) + 1, dtype=np.int64)
     out[rows["id"]] = rows["n"]
     return out
@@ -140,8 +144,9 @@ def count_ids(ids: DataFrame, id_bytes: int) -> np.ndarray:
 def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None) -> None:
     """Tokenize the documents and write their ids, in ascending order of the id column, as a file set at path."""
     spark, id_bytes = docs.sparkSession, tokens.width(tokenizer)
-    ids = materialize(tokens.tokenize(docs, id_col, text_col, tokenizer), "ids")
-    lengths = code_lengths(count_ids(ids, id_bytes))
+    found = materialize(tokens.tokenize(docs, id_col, text_col, tokenizer), "ids", batch_rows=tokens.BATCH_ROWS)
+    lengths = code_lengths(count_ids(found))
+    ids = found.where("counts is null")
     used = np.flatnonzero(lengths)
     spark.createDataFrame(pa.table({"id": pa.array(used, pa.int64()), "bits": pa.array(lengths[used], pa.int32())})).coalesce(1).write.parquet(f"{path}/code")
     shared = spark.sparkContext.broadcast((lengths, canonical_codes(lengths)))
