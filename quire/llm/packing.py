@@ -161,13 +161,13 @@ def places(plan: Counter) -> dict[int, list[tuple[int, int, int, int, int]]]:
     return out
 
 
-def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
+def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, capacity: int = CAPACITY, memo_entries: int = tokens.SMALL_MEMO_ENTRIES, slice_bytes: int = tokens.SLICE_BYTES) -> DataFrame:
     """A row per piece: id, piece, start, length, ids_crc32."""
     with open(path or tokens.default_path(), encoding="utf-8") as f:
         spec = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def make():
-        enc = tokens.encoder(spec.value, tokens.SMALL_MEMO_ENTRIES, tidy=True)
+        enc = tokens.encoder(spec.value, memo_entries, True, slice_bytes)
 
         def step(batch: pa.RecordBatch) -> dict:
             at, rows = [], []
@@ -213,7 +213,7 @@ def pack(items: DataFrame, key_cols: list[str], length_col: str = "length", capa
     )
 
 
-def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    """Every document's pieces with their places in sequences of the capacity."""
-    stored = materialize(pieces(docs, id_col, text_col, path, capacity), "pieces", batch_rows=tokens.BATCH_ROWS)
+def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, capacity: int = CAPACITY, **memory) -> DataFrame:
+    """Every document's pieces with their places in sequences of the capacity; memory: memo_entries and slice_bytes."""
+    stored = materialize(pieces(docs, id_col, text_col, path, capacity, **memory), "pieces", batch_rows=tokens.BATCH_ROWS)
     return pack(stored, [id_col, "piece"], "length", capacity)

@@ -49,7 +49,7 @@ BATCH_ROWS = 2500
 class Encoder:
     """encode(texts) gives an array of ids per text; ids have the narrowest unsigned type that holds the vocabulary."""
 
-    def __init__(self, spec: str, memo_entries: int = MEMO_ENTRIES, tidy: bool = False):
+    def __init__(self, spec: str, memo_entries: int = MEMO_ENTRIES, tidy: bool = False, slice_bytes: int = SLICE_BYTES):
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
@@ -60,7 +60,7 @@ class Encoder:
         self.newline = self._library(["\n"])[0]
         self.split = self.tokenizer.normalizer is None and isinstance(before, ByteLevel) and before.use_regex and not before.add_prefix_space and len(self.newline) == 1
         self.ascii, self.any = re.compile(ASCII_PATTERN).findall, regex.compile(PATTERN).findall
-        self.memo_entries, self.calls, self.tidy = memo_entries, 0, tidy
+        self.memo_entries, self.calls, self.tidy, self.slice_bytes = memo_entries, 0, tidy, slice_bytes
         self._empty()
 
     def _empty(self) -> None:
@@ -132,7 +132,7 @@ class Encoder:
             trim()
         out: list[np.ndarray] = []
         size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
-        edges = np.flatnonzero(np.diff(np.cumsum(size) // SLICE_BYTES)) + 1
+        edges = np.flatnonzero(np.diff(np.cumsum(size) // self.slice_bytes)) + 1
         for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(texts)], strict=True):
             if b > a:
                 out += self._encode_slice(pc.fill_null(texts.slice(a, b - a).cast(pa.large_string()), ""))
@@ -172,16 +172,16 @@ class Encoder:
         return self.encode_array(pa.array(texts, type=pa.string()))
 
 
-def encoder(spec: str, memo_entries: int = MEMO_ENTRIES, tidy: bool = False) -> Encoder:
+def encoder(spec: str, memo_entries: int = MEMO_ENTRIES, tidy: bool = False, slice_bytes: int = SLICE_BYTES) -> Encoder:
     """One encoder per Python worker, whatever the number of tasks that it runs; a tidy one gives freed memory back."""
     if tidy:
         gc.collect()
         trim()
     held = sys.__dict__.setdefault("_quire_encoders", {})
-    key = (zlib.crc32(spec.encode()), memo_entries, tidy)
+    key = (zlib.crc32(spec.encode()), memo_entries, tidy, slice_bytes)
     if key not in held:
         held.clear()
-        held[key] = Encoder(spec, memo_entries, tidy)
+        held[key] = Encoder(spec, memo_entries, tidy, slice_bytes)
     return held[key]
 
 
