@@ -9,9 +9,11 @@ text against text a slot.  Slots count pages, characters, characters in links, a
 
 Merging wrappers is the same alignment, so wrappers are inferred in parts: one for each task and host, merged in two
 levels by salted host; pages never meet in one task.  A wrapper's size is bounded by MAX_TOKENS kinds of token at a
-level; further kinds share one.  Each page is then read again and each block looked up in its host's wrapper: a block
-is main text if its slot is in the wrapper's main part and not in a part for menus, headers, footers, notices, adverts,
-forms or comments, its text is not mostly links, and, outside an article, is not the same on every page.
+level: those on most pages stay, further kinds share one token for articles, one for menus and the like, and so on.
+Each page is then read again and each block looked up in its host's wrapper: a block is main text if its slot is in the
+wrapper's main part and not in a part for menus, headers, footers, notices, adverts, forms or comments, its text is not
+mostly links, and, outside an article, is not the same on every page.  A block whose own token is not in the wrapper is
+judged by the keys of its elements and its links alone, so no text is lost to the bound.
 
 Null or empty html: empty text.  Null or odd urls: one host (empty).  Markup that isn't closed, or stops short, is read as
 far as it goes.  Repeated rows get equal results.  Other columns are ignored.  No rows: no rows.
@@ -23,7 +25,7 @@ import html
 import json
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -50,6 +52,11 @@ OFF_NAMES = re.compile(r"(?:^|[\s_-])(nav|navbar|navigation|menu|breadcrumbs?|he
 MAIN_NAMES = re.compile(r"(?:^|[\s_-])(?:article|articlebody|main|maincontent|post|entry|story|content|body|text)(?:$|[\s_-])", re.IGNORECASE)
 
 
+#: Tokens that kinds beyond the bound share: parts that are off, articles, main elements, other main parts, the rest.
+SPARE = ("nav.*", "article.*", "main.*", "section.main *", "*")
+KINDS = MAX_TOKENS - len(SPARE)
+
+
 class Node:
     """A token of a wrapper: inner holds its inner tokens by key, in order; "#" is the text slot."""
 
@@ -162,6 +169,22 @@ def blocks(page: str | None) -> Iterator[tuple[tuple[tuple[str, int], ...], str,
         yield found
 
 
+def spare(key: str) -> str:
+    """The token for a key beyond the bound, which is_off() and is_main() judge like the key."""
+    tag = key.partition(".")[0]
+    if key in SPARE:
+        return key
+    if is_off(key, True):
+        return "nav.*"
+    if tag in ("article", "main"):
+        return f"{tag}.*"
+    return "section.main *" if is_main(key) else "*"
+
+
+def kinds(keys: Iterable[str]) -> int:
+    return sum(k != "#" and k not in SPARE for k in keys)
+
+
 def page_wrapper(page: str | None) -> Node:
     """A page's own wrapper, folded."""
     root = Node()
@@ -174,8 +197,8 @@ def page_wrapper(page: str | None) -> Node:
         for key, n in (*path, ("#", -1)):
             if key.startswith("head") and (key == "head" or key.startswith("head.")):
                 break
-            if key not in parent.inner and len(parent.inner) >= MAX_TOKENS:
-                key = "*"
+            if key not in parent.inner and key != "#" and len(parent.inner) >= KINDS and kinds(parent.inner) >= KINDS:
+                key = spare(key)
             node = parent.inner.get(key)
             if node is None:
                 node = parent.inner[key] = Node()
@@ -233,17 +256,19 @@ def merge(a: Node, b: Node) -> Node:
         raise AssertionError("a token was lost")
     crossed = [k for k in keys if k in a.inner] != list(a.inner) or [k for k in keys if k in b.inner] != list(b.inner)
     out.mixed = out.mixed or crossed
+    beyond: set[str] = set()
+    if len(keys) > KINDS and kinds(keys) > KINDS:
+        own = [k for k in keys if k != "#" and k not in SPARE]
+        own.sort(key=lambda k: -sum(n.inner[k].pages for n in (a, b) if k in n.inner))
+        beyond = set(own[KINDS:])
     for k in keys:
-        x, y = a.inner.get(k), b.inner.get(k)
-        if len(out.inner) >= MAX_TOKENS and k not in out.inner:
-            x, y = out.inner.get("*") or Node(), x or y
-            out.inner["*"] = merge(x, y)
-            continue
-        if x and y:
-            out.inner[k] = merge(x, y)
-        else:
-            out.inner[k] = node = Node.unpack((x or y).pack())
-            node.optional = True
+        for node in filter(None, (a.inner.get(k), b.inner.get(k))):
+            to = spare(k) if k in beyond else k
+            if to in out.inner:
+                out.inner[to] = merge(out.inner[to], node)
+            else:
+                out.inner[to] = node = Node.unpack(node.pack())
+                node.optional = node.optional or k in beyond or not (k in a.inner and k in b.inner)
     return out
 
 
@@ -267,8 +292,11 @@ def is_main(key: str) -> bool:
     return tag in ("article", "main") or (tag in ("div", "section") and bool(MAIN_NAMES.search(label)))
 
 
-def main_paths(wrapper: Node) -> tuple[set[tuple[str, ...]], bool]:
-    """(paths of the slots that hold main text, whether they are within an article)."""
+MAIN_TESTS: tuple[Callable[[str], bool], ...] = (lambda k: k.partition(".")[0] == "article", lambda k: k.partition(".")[0] == "main", is_main)
+
+
+def main_slots(wrapper: Node) -> tuple[set[tuple[str, ...]], Callable[[str], bool] | None]:
+    """(paths of the slots that hold main text, what tells an element that holds the article, if there is one)."""
     slots: dict[tuple[str, ...], Node] = {}
 
     def walk(node: Node, path: tuple[str, ...], main: bool) -> None:
@@ -281,14 +309,47 @@ def main_paths(wrapper: Node) -> tuple[set[tuple[str, ...]], bool]:
     walk(wrapper, (), False)
     prose = {p: n for p, n in slots.items() if n.links <= LINK_SHARE * n.chars}
     total = sum(n.chars for n in prose.values())
-    for test in (lambda k: k.partition(".")[0] == "article", lambda k: k.partition(".")[0] == "main", is_main):
+    for test in MAIN_TESTS:
         inside = {p for p in prose if any(test(k) for k in p)}
         if inside and 4 * sum(prose[p].chars for p in inside) >= total:
-            return inside, True
-    return {p for p, n in prose.items() if n.pages < CONSTANT_PAGES or not n.constant or wrapper.pages < CONSTANT_PAGES}, False
+            return inside, test
+    return {p for p, n in prose.items() if n.pages < CONSTANT_PAGES or not n.constant or wrapper.pages < CONSTANT_PAGES}, None
+
+
+def main_paths(wrapper: Node) -> tuple[set[tuple[str, ...]], bool]:
+    """(paths of the slots that hold main text, whether they are within an article)."""
+    keep, test = main_slots(wrapper)
+    return keep, test is not None
+
+
+class Keep:
+    """path in Keep(wrapper): whether the block at a path of a page's own keys is in a part to keep."""
+
+    def __init__(self, wrapper: Node):
+        self.wrapper = wrapper
+        self.slots, self.test = main_slots(wrapper)
+
+    def __contains__(self, path: tuple[str, ...]) -> bool:
+        if path in self.slots:
+            return True
+        node: Node | None = self.wrapper
+        for k in (*path, "#"):
+            node = node.inner.get(k)
+            if node is None:
+                return self.beyond(path)
+        return False
+
+    def beyond(self, path: tuple[str, ...]) -> bool:
+        """The same of a path that isn't in the wrapper with all its keys: by these keys alone."""
+        main = False
+        for k in path:
+            if k.partition(".")[0] == "head" or is_off(k, main):
+                return False
+            main = main or is_main(k)
+        return self.test is None or any(self.test(k) for k in path)
 
 
-def main_text(page: str | None, keep: set[tuple[str, ...]]) -> str:
+def main_text(page: str | None, keep: Keep | set[tuple[str, ...]]) -> str:
     """The blocks of a page in the slots to keep."""
     out = []
     for path, text, links in blocks(page):
@@ -341,14 +402,14 @@ def extract(pages: DataFrame, wrappers: DataFrame, id_col: str = "page_id", url_
     id_type = pages.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str | None, set] = {None: set()}
+        known: dict[str | None, Keep | set] = {None: set()}
         for batch in batches:
             out = []
             for page, wrapper in zip(batch.column("_html").to_pylist(), batch.column("wrapper").to_pylist(), strict=True):
                 if wrapper not in known:
                     if len(known) > 500:
                         known.clear()
-                    known[wrapper] = main_paths(Node.unpack(json.loads(wrapper)))[0] if wrapper else set()
+                    known[wrapper] = Keep(Node.unpack(json.loads(wrapper))) if wrapper else set()
                 out.append(main_text(page, known[wrapper]))
             yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_url"), pa.array(out, pa.string())], names=[id_col, url_col, "text"])
 

@@ -73,3 +73,34 @@ def test_kinds_of_token_are_bounded():
     node = hw.page_wrapper(many)
     assert len(node.inner) <= hw.MAX_TOKENS + 1
     assert len(hw.merge(node, hw.page_wrapper(many.replace("x", "z"))).inner) <= hw.MAX_TOKENS + 1
+
+
+def folded(pages):
+    node = None
+    for page in pages:
+        own = hw.page_wrapper(page)
+        node = own if node is None else hw.merge(node, own)
+    return node
+
+
+def test_text_beyond_the_bound_is_kept():
+    """Every heading, article and section has its own id, and what comes after them keeps its slot."""
+    r = random.Random(4)
+    slug = lambda: "-".join("".join(r.choice("bcdfghjklm") for _ in range(6)) for _ in range(3))
+    pages, want = [], []
+    for _ in range(150):
+        title, heads, paras, last = words(r, 5), [words(r, 4) for _ in range(3)], [words(r, 20) for _ in range(3)], words(r, 9)
+        body = "".join(f'<h2 id="{slug()}">{h}</h2><section id="{slug()}"><p>{p}</p></section>' for h, p in zip(heads, paras, strict=True))
+        pages.append(f'<body><article id="{slug()}"><h1>{title}</h1>{body}<p>{last}</p><div class="share" id="{slug()}">tell all</div></article><div id="{slug()}">elsewhere</div></body>')
+        want.append("\n\n".join([title, *(x for h, p in zip(heads, paras, strict=True) for x in (h, p)), last]))
+    for wrapper in (folded(pages), hw.merge(folded(pages[75:]), folded(pages[:75]))):
+        keep = hw.Keep(hw.Node.unpack(json.loads(json.dumps(wrapper.pack()))))
+        assert [hw.main_text(p, keep) for p in pages] == want
+
+
+def test_text_beyond_the_bound_of_one_page(spark):
+    r = random.Random(6)
+    heads = [f"t{i} {words(r, 3)}" for i in range(400)]
+    page = "<body><article>" + "".join(f'<h2 id="{"x" * (i % 70)}y{"z" * (i // 70)}">{h}</h2>' for i, h in enumerate(heads)) + "<p>the last</p>own words</article></body>"
+    df = spark.createDataFrame([(1, "http://a.example/", page), (2, "http://a.example/", page)], "page_id long, url string, html string")
+    assert [x.text for x in hw.main_texts(df).collect()] == ["\n\n".join([*heads, "the last", "own words"])] * 2
