@@ -4,6 +4,7 @@ Byte-level BPE never merges across pre-tokens, so a text may be cut wherever two
 of its pieces one after another.  Texts are cut before spaces, line ends, full stops and commas, by Arrow, many texts at
 a time; a cut is certain to fall between pre-tokens if what stands before a space or line end is no white space, and
 before a stop or comma is a letter or digit.  Texts with any other cut are split by the tokenizer's whole pattern.
+Texts that hold an added token's content go through the library whole, one by one, as it looks for these first.
 Pieces not seen before are encoded by the tokenizers library, many at a time as lines of one string; the rest come from
 the memo, which is emptied at a fixed number of entries, so memory is bounded.  A tokenizer of any other kind encodes
 whole texts directly.
@@ -54,11 +55,11 @@ class Encoder:
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_str(spec)
-        self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         before = self.tokenizer.pre_tokenizer
         self.newline = self._library(["\n"])[0]
-        self.split = self.tokenizer.normalizer is None and isinstance(before, ByteLevel) and before.use_regex and not before.add_prefix_space and len(self.newline) == 1
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.split = not any("\n" in c for c in self.added) and self.tokenizer.normalizer is None and isinstance(before, ByteLevel) and before.use_regex and not before.add_prefix_space and len(self.newline) == 1
         self.ascii, self.any = re.compile(ASCII_PATTERN).findall, regex.compile(PATTERN).findall
         self.memo_entries, self.calls, self.tidy, self.slice_bytes = memo_entries, 0, tidy, slice_bytes
         self._empty()
@@ -141,6 +142,12 @@ class Encoder:
     def _encode_slice(self, texts: pa.Array) -> list[np.ndarray]:
         if len(self.memo) > self.memo_entries:
             self._empty()
+        whole = np.zeros(len(texts), dtype=bool)
+        for c in self.added:
+            whole |= pc.match_substring(texts, c).to_numpy(zero_copy_only=False)
+        given = texts
+        if whole.any():
+            texts = pc.if_else(pa.array(whole), pa.scalar("", pa.large_string()), texts)
         bad = pc.match_substring(texts, CUT).to_numpy(zero_copy_only=False).copy()
         marked = texts
         for c in " \n.,":
@@ -166,6 +173,8 @@ class Encoder:
         out = np.split(flat, ends[:-1])
         for k in np.flatnonzero(bad).tolist():
             out[k] = self._slow(texts[k].as_py())
+        for k in np.flatnonzero(whole).tolist():
+            out[k] = self._library([given[k].as_py()])[0]
         return out
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
