@@ -11,8 +11,9 @@ Merging wrappers is the same alignment, so wrappers are inferred in parts: one f
 levels by salted host; pages never meet in one task.  A wrapper's size is bounded by MAX_TOKENS kinds of token at a
 level: those on most pages stay, further kinds share one token for articles, one for menus and the like, and so on.
 Each page is then read again and each block looked up in its host's wrapper: a block is main text if its slot is in the
-wrapper's main part and not in a part for menus, headers, footers, notices, adverts, forms or comments, its text is not
-mostly links, and, outside an article, is not the same on every page.  A block whose own token is not in the wrapper is
+wrapper's main part and not in a part for menus, headers, footers, notices, adverts, forms or comments, and, where a host
+has no article, its text is not mostly links, nor the same on CONSTANT_PAGES different pages.  A main part that only a
+name tells loses its linked list items and table cells, which may be menus.  A block whose own token is not in the wrapper is
 judged by the keys of its elements and its links alone, so no text is lost to the bound.
 
 Null or empty html: empty text.  Null or odd urls: one host (empty).  Markup that isn't closed, or stops short, is read as
@@ -60,20 +61,21 @@ KINDS = MAX_TOKENS - len(SPARE)
 class Node:
     """A token of a wrapper: inner holds its inner tokens by key, in order; "#" is the text slot."""
 
-    __slots__ = ("chars", "constant", "inner", "links", "mixed", "optional", "pages", "repeated", "text")
+    __slots__ = ("chars", "codes", "constant", "inner", "links", "mixed", "optional", "pages", "repeated", "text")
 
     def __init__(self):
         self.inner: dict[str, Node] = {}
         self.optional = self.repeated = self.mixed = False
         self.pages, self.chars, self.links, self.text, self.constant = 0, 0, 0, None, True
+        self.codes: list[int] = []  # of a text slot: hashes of different pages, CONSTANT_PAGES at most
 
     def pack(self) -> list:
-        return [int(self.optional) + 2 * self.repeated + 4 * self.mixed + 8 * self.constant, self.pages, self.chars, self.links, self.text, {k: n.pack() for k, n in self.inner.items()}]
+        return [int(self.optional) + 2 * self.repeated + 4 * self.mixed + 8 * self.constant, self.pages, self.chars, self.links, self.text, self.codes, {k: n.pack() for k, n in self.inner.items()}]
 
     @classmethod
     def unpack(cls, packed: list) -> Node:
         node = cls()
-        flags, node.pages, node.chars, node.links, node.text, inner = packed
+        flags, node.pages, node.chars, node.links, node.text, node.codes, inner = packed
         node.optional, node.repeated, node.mixed, node.constant = bool(flags & 1), bool(flags & 2), bool(flags & 4), bool(flags & 8)
         node.inner = {k: cls.unpack(v) for k, v in inner.items()}
         return node
@@ -189,6 +191,7 @@ def page_wrapper(page: str | None) -> Node:
     """A page's own wrapper, folded."""
     root = Node()
     root.pages = 1
+    own = [zlib.crc32((page or "").encode("utf-8", "surrogatepass"))]
     seen: dict[int, Node] = {0: root}
     last: dict[int, str] = {}
     told: set[int] = set()
@@ -218,6 +221,7 @@ def page_wrapper(page: str | None) -> Node:
             code = zlib.crc32(text.encode("utf-8", "surrogatepass"))
             parent.constant = parent.constant and parent.text in (None, code)
             parent.text = code if parent.text is None else parent.text
+            parent.codes = own
             parent.chars += len(text)
             parent.links += min(links, len(text))
     return root
@@ -249,6 +253,7 @@ def merge(a: Node, b: Node) -> Node:
     out = Node()
     out.optional, out.repeated, out.mixed = a.optional or b.optional, a.repeated or b.repeated, a.mixed or b.mixed
     out.pages, out.chars, out.links = a.pages + b.pages, a.chars + b.chars, a.links + b.links
+    out.codes = a.codes if a.codes == b.codes else sorted({*a.codes, *b.codes})[:CONSTANT_PAGES]
     out.text = a.text if a.text is not None else b.text
     out.constant = a.constant and b.constant and (a.text is None or b.text is None or a.text == b.text)
     keys = list(a.inner) if a.inner.keys() == b.inner.keys() and list(a.inner) == list(b.inner) else common_order(list(a.inner), list(b.inner))
@@ -295,6 +300,14 @@ def is_main(key: str) -> bool:
 MAIN_TESTS: tuple[Callable[[str], bool], ...] = (lambda k: k.partition(".")[0] == "article", lambda k: k.partition(".")[0] == "main", is_main)
 
 
+LISTS = frozenset("ul ol dl table".split())
+
+
+def links_stay(path: tuple[str, ...], test: Callable[[str], bool] | None) -> bool:
+    """Whether a block is kept even if it is mostly links: within the article, but for lists in a part of mere name."""
+    return test is not None and any(test(k) for k in path) and (test is not is_main or not any(k.partition(".")[0] in LISTS for k in path))
+
+
 def main_slots(wrapper: Node) -> tuple[set[tuple[str, ...]], Callable[[str], bool] | None]:
     """(paths of the slots that hold main text, what tells an element that holds the article, if there is one)."""
     slots: dict[tuple[str, ...], Node] = {}
@@ -312,8 +325,8 @@ def main_slots(wrapper: Node) -> tuple[set[tuple[str, ...]], Callable[[str], boo
     for test in MAIN_TESTS:
         inside = {p for p in prose if any(test(k) for k in p)}
         if inside and 4 * sum(prose[p].chars for p in inside) >= total:
-            return inside, test
-    return {p for p, n in prose.items() if n.pages < CONSTANT_PAGES or not n.constant or wrapper.pages < CONSTANT_PAGES}, None
+            return inside | {p for p in slots if links_stay(p, test)}, test
+    return {p for p, n in prose.items() if len(n.codes) < CONSTANT_PAGES or not n.constant}, None
 
 
 def main_paths(wrapper: Node) -> tuple[set[tuple[str, ...]], bool]:
@@ -352,8 +365,10 @@ class Keep:
 def main_text(page: str | None, keep: Keep | set[tuple[str, ...]]) -> str:
     """The blocks of a page in the slots to keep."""
     out = []
+    test = keep.test if isinstance(keep, Keep) else None
     for path, text, links in blocks(page):
-        if tuple(k for k, _ in path) in keep and links <= LINK_SHARE * len(text) + 1:
+        keys = tuple(k for k, _ in path)
+        if keys in keep and (links <= LINK_SHARE * len(text) + 1 or links_stay(keys, test)):
             out.append(text)
     return "\n\n".join(out)
 

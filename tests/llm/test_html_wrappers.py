@@ -104,3 +104,24 @@ def test_text_beyond_the_bound_of_one_page(spark):
     page = "<body><article>" + "".join(f'<h2 id="{"x" * (i % 70)}y{"z" * (i // 70)}">{h}</h2>' for i, h in enumerate(heads)) + "<p>the last</p>own words</article></body>"
     df = spark.createDataFrame([(1, "http://a.example/", page), (2, "http://a.example/", page)], "page_id long, url string, html string")
     assert [x.text for x in hw.main_texts(df).collect()] == ["\n\n".join([*heads, "the last", "own words"])] * 2
+
+
+def test_linked_text_of_an_article_is_kept():
+    r = random.Random(7)
+    pages, want = [], []
+    for i in range(6):
+        title, para, plain_item = words(r, 4), words(r, 30), words(r, 5)
+        items = [words(r, 6) for _ in range(5)]
+        listed = "".join(f'<li><a href="/r">{x}</a></li>' for x in items)
+        pages.append(f'<body><nav><a href="/">home</a></nav><article><h1><a href="/{i}">{title}</a></h1><p>{para}</p><ul>{listed}<li>{plain_item}</li></ul></article></body>')
+        want.append("\n\n".join([title, para, *items, plain_item]))
+    keep = hw.Keep(folded(pages))
+    assert [hw.main_text(p, keep) for p in pages] == want
+
+
+def test_copies_of_one_page_keep_their_text():
+    page = "<body><div class=top0>all words</div><div class=row>the only page of this host</div></body>"
+    assert hw.main_text(page, hw.Keep(folded([page] * 5))) == "all words\n\nthe only page of this host"
+    other = "<body><div class=top0>other words</div><div class=mid>a second page</div></body>"
+    keep = hw.Keep(folded([page] * 5 + [other] * 4))
+    assert [hw.main_text(p, keep) for p in (page, other)] == ["all words\n\nthe only page of this host", "other words\n\na second page"]
