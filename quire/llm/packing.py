@@ -161,13 +161,13 @@ def places(plan: Counter) -> dict[int, list[tuple[int, int, int, int, int]]]:
     return out
 
 
-def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, capacity: int = CAPACITY, memo_entries: int = tokens.SMALL_MEMO_ENTRIES, slice_bytes: int = tokens.SLICE_BYTES) -> DataFrame:
+def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, capacity: int = CAPACITY, memo_entries: int = tokens.MEMO_ENTRIES, slice_bytes: int = tokens.SLICE_BYTES) -> DataFrame:
     """A row per piece: id, piece, start, length, ids_crc32."""
     with open(path or tokens.default_path(), encoding="utf-8") as f:
         spec = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def make():
-        enc = tokens.encoder(spec.value, memo_entries, True, slice_bytes)
+        enc = tokens.encoder(spec.value, memo_entries, slice_bytes)
 
         def step(batch: pa.RecordBatch) -> dict:
             at, rows = [], []

@@ -89,14 +89,14 @@ def encode_ids(ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> tuple
     value = codes[ids].astype(np.uint64) << (np.uint64(64) - (at & 31).astype(np.uint64) - size.astype(np.uint64))
     word = at >> 5
     if not len(ids):
-        return b"", at[::CHECKPOINT].astype(np.int32)
+        return b"", at[::CHECKPOINT].astype(np.int64)
     # a code lies in one 32-bit word and the next; codes don't overlap, so sums are unions
     first = np.flatnonzero(np.diff(word, prepend=-1))
     out = np.zeros(int(word[-1]) + 2, dtype=np.uint64)
     out[word[first]] = np.add.reduceat(value >> np.uint64(32), first)
     out[word[first] + 1] += np.add.reduceat(value & np.uint64(0xFFFFFFFF), first)
     raw = out.astype(np.uint32).astype(">u4").tobytes()
-    return raw[: int(end[-1] + 7 >> 3)], at[::CHECKPOINT].astype(np.int32)
+    return raw[: int(end[-1] + 7 >> 3)], at[::CHECKPOINT]
 
 
 def decode_blocks(payloads: list[bytes], checkpoints: list[np.ndarray], sizes: list[int], table: tuple[np.ndarray, np.ndarray, int]) -> list[np.ndarray]:
@@ -180,9 +180,9 @@ def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
     from pyspark.sql.types import StructType
 
     id_type = docs.schema[id_col].dataType.simpleString()
-    schema = StructType.fromDDL(f"part int, block int, before bigint, docs array<{id_type}>, sizes array<bigint>, n_ids bigint, marks array<int>, bits binary")
+    schema = StructType.fromDDL(f"part int, block int, before bigint, docs array<{id_type}>, sizes array<bigint>, n_ids bigint, marks array<bigint>, bits binary")
     arrow = to_arrow_schema(schema)
-    ordered = ids.repartitionByRange(parts, id_col).sortWithinPartitions(id_col)
+    ordered = ids.repartitionByRange(parts, id_col).sortWithinPartitions(id_col, "ids")
     ordered.select(id_col, "n_tokens", "ids").mapInArrow(run, schema).write.parquet(f"{path}/blocks")
 
 
@@ -233,7 +233,8 @@ def _decoded(spark: SparkSession, path: str, id_col: str, digest: bool) -> DataF
 
 def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None) -> DataFrame:
     """Write the documents as a file set in the shared work folder and read its digest back.  Null or empty text: the
-    end id alone; repeated ids are kept as they are, next to each other; no rows: an empty file set."""
+    end id alone; repeated ids are kept as they are, next to each other, in order of their ids' bytes; a text of any length
+    is one document of one block; columns other than id and text are ignored; no rows: an empty file set."""
     path = work_path(docs.sparkSession, "token-files")
     write(docs, path, id_col, text_col, tokenizer)
     return read_digest(docs.sparkSession, path, id_col)
