@@ -7,17 +7,26 @@ tokens that come again further on make their parent's content a repeated group o
 page are aligned (longest common subsequence of inner tokens, at every level): what only one side has becomes optional,
 text against text a slot.  Slots count pages, characters, characters in links, and whether their text ever changes.
 
-Merging wrappers is the same alignment, so wrappers are inferred in parts: one for each task and host, merged in two
-levels by salted host; pages never meet in one task.  A wrapper's size is bounded by MAX_TOKENS kinds of token at a
-level: those on most pages stay, further kinds share one token for articles, one for menus and the like, and so on.
-Each page is then read again and each block looked up in its host's wrapper: a block is main text if its slot is in the
-wrapper's main part and not in a part for menus, headers, footers, notices, adverts, forms or comments, and, where a host
-has no article, its text is not mostly links, nor the same on CONSTANT_PAGES different pages.  A main part that only a
-name tells loses its linked list items and table cells, which may be menus.  A block whose own token is not in the wrapper is
-judged by the keys of its elements and its links alone, so no text is lost to the bound.
+A host may have several templates.  A page is aligned with the wrapper that has slots for most of its text, or begins a
+new one if that is less than ALIKE; beyond TEMPLATES wrappers it joins the most alike.  Merging wrappers is the same
+alignment, so wrappers are inferred in parts: one list for each task and host, merged in two levels by salted host; pages
+never meet in one task.  A wrapper's size is bounded by MAX_TOKENS kinds of token at a level: those on most pages stay,
+further kinds share one token for articles, one for menus and the like, and so on.
+
+The wrapper tells which slots are main text.  Slots whose text is the same on CONSTANT_PAGES different pages belong to the
+template; slots that change, in repeated or optional parts, hold what pages say.  Parts for menus, footers, forms and the
+like are left out; a part that only its class name calls so stays if it holds most of the changing prose.  If an article
+or main element holds a quarter of the rest, that is the main part, else an element of such a name; else the way
+down from the root is followed as long as one element holds DOMINANT of the changing prose, and a heading before that
+element belongs to it.  Without an article, slots that are mostly links, or constant, go.
+
+Each page is then read again and each block looked up in the wrapper that fits the page.  A main part that only a name or
+its prose tells loses its linked list items and table cells, which may be menus.  A block whose own token is not in the
+wrapper is judged by the keys of its elements and its links alone, so no text is lost to the bound.
 
 Null or empty html: empty text.  Null or odd urls: one host (empty).  Markup that isn't closed, or stops short, is read as
-far as it goes.  Repeated rows get equal results.  Other columns are ignored.  No rows: no rows.
+far as it goes.  Pages of any length are read whole.  Repeated rows get equal results.  Other columns are ignored.  No rows:
+no rows.
 """
 
 from __future__ import annotations
@@ -39,6 +48,11 @@ SALTS = 32
 MAX_TOKENS = 200
 CONSTANT_PAGES = 3
 LINK_SHARE = 0.5
+ALIKE = 0.5
+TEMPLATES = 16
+DOMINANT = 0.6
+#: Wrappers up to this many bytes in all are sent to the tasks; more are joined by host.
+BROADCAST_BYTES = 64 << 20
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<(?![A-Za-z/!?]))", re.DOTALL)
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
@@ -53,6 +67,7 @@ OFF_NAMES = re.compile(r"(?:^|[\s_-])(nav|navbar|navigation|menu|breadcrumbs?|he
 MAIN_NAMES = re.compile(r"(?:^|[\s_-])(?:article|articlebody|main|maincontent|post|entry|story|content|body|text)(?:$|[\s_-])", re.IGNORECASE)
 
 
+COMMENT_NAMES = frozenset("comment comments commentlist respond replies disqus".split())
 #: Tokens that kinds beyond the bound share: parts that are off, articles, main elements, other main parts, the rest.
 SPARE = ("nav.*", "article.*", "main.*", "section.main *", "*")
 KINDS = MAX_TOKENS - len(SPARE)
@@ -164,7 +179,9 @@ def blocks(page: str | None) -> Iterator[tuple[tuple[tuple[str, int], ...], str,
             continue
         names = {n.lower(): (a or b or c) for n, a, b, c in ATTRIBUTE.findall(m[3])}
         label = " ".join(filter(None, (names.get("class"), names.get("id"), names.get("role"))))
-        label = re.sub(r"\d+", "0", " ".join(label.split()))[:80]
+        label = re.sub(r"\d+", "0", " ".join(label.split()))
+        if len(label) > 80:  # short, but different labels stay different
+            label = f"{label[:60]} {zlib.crc32(label.encode('utf-8', 'surrogatepass'))}"
         count += 1
         stack.append((tag, f"{tag}.{label}" if label else tag, count))
     if found := block():
@@ -277,8 +294,9 @@ def merge(a: Node, b: Node) -> Node:
     return out
 
 
-def is_off(key: str, in_main: bool) -> bool:
-    """Whether an element is for anything but main text; a heading part of an article is no page header."""
+def is_off(key: str, in_main: bool, by_name: bool = True) -> bool:
+    """Whether an element is for anything but main text; a heading part of an article is no page header.  by_name: whether
+    class names count."""
     tag, _, label = key.partition(".")
     if tag in OFF_TAGS or (tag == "header" and not in_main):
         return True
@@ -286,10 +304,10 @@ def is_off(key: str, in_main: bool) -> bool:
     if tag in ("html", "body", "main"):
         return False
     if tag == "article":
-        return bool(names & {"comment", "comments"})
+        return bool(names & COMMENT_NAMES)
     if in_main or MAIN_NAMES.search(label):
         names.discard("header")
-    return bool(names)
+    return bool(names if by_name else names & COMMENT_NAMES)
 
 
 def is_main(key: str) -> bool:
@@ -301,74 +319,185 @@ MAIN_TESTS: tuple[Callable[[str], bool], ...] = (lambda k: k.partition(".")[0] =
 
 
 LISTS = frozenset("ul ol dl table".split())
+Path = tuple[str, ...]
 
 
-def links_stay(path: tuple[str, ...], test: Callable[[str], bool] | None) -> bool:
-    """Whether a block is kept even if it is mostly links: within the article, but for lists in a part of mere name."""
-    return test is not None and any(test(k) for k in path) and (test is not is_main or not any(k.partition(".")[0] in LISTS for k in path))
+def slots_of(wrapper: Node) -> dict[Path, Node]:
+    """The text slots by their path."""
+    out: dict[Path, Node] = {}
 
-
-def main_slots(wrapper: Node) -> tuple[set[tuple[str, ...]], Callable[[str], bool] | None]:
-    """(paths of the slots that hold main text, what tells an element that holds the article, if there is one)."""
-    slots: dict[tuple[str, ...], Node] = {}
-
-    def walk(node: Node, path: tuple[str, ...], main: bool) -> None:
+    def walk(node: Node, path: Path) -> None:
         for k, n in node.inner.items():
             if k == "#":
-                slots[path] = n
-            elif not is_off(k, main):
-                walk(n, (*path, k), main or is_main(k))
+                out[path] = n
+            else:
+                walk(n, (*path, k))
 
-    walk(wrapper, (), False)
-    prose = {p: n for p, n in slots.items() if n.links <= LINK_SHARE * n.chars}
-    total = sum(n.chars for n in prose.values())
-    for test in MAIN_TESTS:
-        inside = {p for p in prose if any(test(k) for k in p)}
-        if inside and 4 * sum(prose[p].chars for p in inside) >= total:
-            return inside | {p for p in slots if links_stay(p, test)}, test
-    return {p for p, n in prose.items() if len(n.codes) < CONSTANT_PAGES or not n.constant}, None
+    walk(wrapper, ())
+    return out
 
 
-def main_paths(wrapper: Node) -> tuple[set[tuple[str, ...]], bool]:
-    """(paths of the slots that hold main text, whether they are within an article)."""
-    keep, test = main_slots(wrapper)
-    return keep, test is not None
+def same_everywhere(slot: Node) -> bool:
+    """Whether a slot is a part of the template: one text on CONSTANT_PAGES different pages."""
+    return slot.constant and len(slot.codes) >= CONSTANT_PAGES
 
 
 class Keep:
-    """path in Keep(wrapper): whether the block at a path of a page's own keys is in a part to keep."""
+    """What a wrapper says about its pages: path in Keep(wrapper) tells whether the block at a path of keys is to be kept."""
 
     def __init__(self, wrapper: Node):
         self.wrapper = wrapper
-        self.slots, self.test = main_slots(wrapper)
+        slots = slots_of(wrapper)
+        changing = {p: n.chars - n.links for p, n in slots.items() if not same_everywhere(n)}
+        self.spared = self._spared(changing)
+        prose = {p: n for p, n in slots.items() if n.links <= LINK_SHARE * n.chars and not self.off(p)}
+        total = sum(n.chars for n in prose.values())
+        self.test: Callable[[str], bool] | None = None
+        self.part: Path = ()
+        for test in MAIN_TESTS:
+            inside = {p for p in prose if any(test(k) for k in p)}
+            if inside and 4 * sum(prose[p].chars for p in inside) >= total:
+                self.test = test
+                self.slots = inside | {p for p in slots if not self.off(p) and self.links_stay(p)}
+                if test is is_main:  # a mere name: the heading may stand before the part of that name
+                    parts = {p[: 1 + next(i for i, k in enumerate(p) if test(k))] for p in inside}
+                    self.slots |= {p for p in prose if p in changing and any(self._heading(p, part) for part in parts)}
+                return
+        self.part = self._dominant({p: self._weight(p, n) for p, n in prose.items() if p in changing})
+        self.slots = {p for p, n in prose.items() if p in changing and self.inside(p)}
+
+    def _spared(self, changing: dict[Path, int]) -> Path | None:
+        """The part that only its class name calls a menu or the like, but that holds most of the changing prose."""
+        parts: dict[Path, int] = {}
+        for p, n in changing.items():
+            main = False
+            for i, k in enumerate(p):
+                if is_off(k, main, by_name=False):
+                    break
+                if is_off(k, main):
+                    parts[p[: i + 1]] = parts.get(p[: i + 1], 0) + n
+                    break
+                main = main or is_main(k)
+        rest = sum(n for p, n in changing.items() if not self._off(p, None)) + sum(parts.values())
+        best = max(parts, key=lambda p: parts[p], default=None)
+        return best if best is not None and 2 * parts[best] > rest else None
+
+    @staticmethod
+    def _off(path: Path, spared: Path | None) -> bool:
+        main = False
+        for i, k in enumerate(path):
+            if k.partition(".")[0] == "head" or is_off(k, main, by_name=path[: i + 1] != spared):
+                return True
+            main = main or is_main(k)
+        return False
+
+    def off(self, path: Path) -> bool:
+        return self._off(path, self.spared)
 
-    def __contains__(self, path: tuple[str, ...]) -> bool:
+    def _weight(self, path: Path, slot: Node) -> int:
+        """Changing prose; in repeated or optional parts of the wrapper it counts double."""
+        node, loose = self.wrapper, slot.repeated or slot.optional
+        for k in path:
+            node = node.inner[k]
+            loose = loose or node.repeated or node.optional or node.mixed
+        return (slot.chars - slot.links) * (2 if loose else 1)
+
+    def _dominant(self, weights: dict[Path, int]) -> Path:
+        """The lowest element on the way down from the root that holds DOMINANT of the weight; not a single block's own."""
+        part: Path = ()
+        while True:
+            held: dict[str, int] = {}
+            for p, n in weights.items():
+                if p[: len(part)] == part and len(p) > len(part) + 1:
+                    held[p[len(part)]] = held.get(p[len(part)], 0) + n
+            best = max(held, key=lambda k: held[k], default=None)
+            if best is None or held[best] < DOMINANT * sum(weights.values()):
+                return part
+            part = (*part, best)
+
+    def _heading(self, path: Path, part: Path) -> bool:
+        """Whether a path is a first or second heading that stands before a part, next to one of its elements."""
+        k = len(path) - 1
+        if not 0 <= k < len(part) or path[k].partition(".")[0] not in ("h1", "h2") or path[:k] != part[:k]:
+            return False
+        node = self.wrapper
+        for key in path[:k]:
+            node = node.inner[key]
+        order = list(node.inner)
+        return path[k] in order and order.index(path[k]) < order.index(part[k])
+
+    def inside(self, path: Path) -> bool:
+        """Whether a path is in the dominant part, or a heading of it."""
+        return path[: len(self.part)] == self.part or self._heading(path, self.part)
+
+    def links_stay(self, path: Path) -> bool:
+        """Whether a block is kept even if it is mostly links: within the article, but for lists in a part of mere name."""
+        return self.test is not None and any(self.test(k) for k in path) and (self.test is not is_main or not any(k.partition(".")[0] in LISTS for k in path))
+
+    def __contains__(self, path: Path) -> bool:
         if path in self.slots:
             return True
         node: Node | None = self.wrapper
         for k in (*path, "#"):
             node = node.inner.get(k)
             if node is None:
-                return self.beyond(path)
+                return not self.off(path) and (any(self.test(k) for k in path) if self.test else self.inside(path))
         return False
 
-    def beyond(self, path: tuple[str, ...]) -> bool:
-        """The same of a path that isn't in the wrapper with all its keys: by these keys alone."""
-        main = False
-        for k in path:
-            if k.partition(".")[0] == "head" or is_off(k, main):
-                return False
-            main = main or is_main(k)
-        return self.test is None or any(self.test(k) for k in path)
 
+def known_share(own: Node, wrapper: Node) -> float:
+    """The share of a page's (or wrapper's) text for which another has slots."""
+
+    def found(a: Node, b: Node) -> tuple[int, int]:
+        known = total = 0
+        for k, n in a.inner.items():
+            other = b.inner.get(k) or (b.inner.get(spare(k)) if k != "#" else None)
+            if k == "#":
+                total += n.chars
+                known += n.chars if other else 0
+            elif other:
+                x, y = found(n, other)
+                known, total = known + x, total + y
+            else:
+                total += sum(s.chars for s in slots_of(n).values())
+        return known, total
 
-def main_text(page: str | None, keep: Keep | set[tuple[str, ...]]) -> str:
+    known, total = found(own, wrapper)
+    return known / total if total else 1.0
+
+
+def join_templates(wrappers: list[Node], more: list[Node]) -> list[Node]:
+    """The templates of both lists, those that are alike merged."""
+    out = list(wrappers)
+    for own in more:
+        alike = [max(known_share(own, w), known_share(w, own)) for w in out]
+        best = max(range(len(out)), key=lambda i: alike[i], default=None)
+        if best is None or (alike[best] < ALIKE and len(out) < TEMPLATES):
+            out.append(own)
+        else:
+            out[best] = merge(out[best], own)
+    return out
+
+
+class Templates:
+    """The wrappers of a host, each with what it says; of(page) is the one that fits a page."""
+
+    def __init__(self, wrappers: list[Node]):
+        self.keeps = [Keep(w) for w in wrappers]
+
+    def of(self, page: str | None) -> Keep | None:
+        if len(self.keeps) < 2:
+            return self.keeps[0] if self.keeps else None
+        own = page_wrapper(page)
+        return max(self.keeps, key=lambda k: (known_share(own, k.wrapper), k.wrapper.pages))
+
+
+def main_text(page: str | None, keep: Keep | None) -> str:
     """The blocks of a page in the slots to keep."""
     out = []
-    test = keep.test if isinstance(keep, Keep) else None
     for path, text, links in blocks(page):
         keys = tuple(k for k, _ in path)
-        if keys in keep and (links <= LINK_SHARE * len(text) + 1 or links_stay(keys, test)):
+        if keep is not None and keys in keep and (links <= LINK_SHARE * len(text) + 1 or keep.links_stay(keys)):
             out.append(text)
     return "\n\n".join(out)
 
@@ -377,20 +506,27 @@ def host(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
+def pack_all(wrappers: list[Node]) -> str:
+    return json.dumps([n.pack() for n in wrappers])
+
+
+def unpack_all(text: str) -> list[Node]:
+    return [Node.unpack(x) for x in json.loads(text)]
+
+
 def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, wrapper) of every host; the wrapper as JSON of Node.pack()."""
+    """(host, wrappers) of every host; the wrappers as JSON of Node.pack()."""
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[str, Node] = {}
+        found: dict[str, list[Node]] = {}
         salt = TaskContext.get().partitionId() % SALTS
 
         def emit() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(found)), pa.array([salt] * len(found), pa.int32()), pa.array([json.dumps(n.pack()) for n in found.values()])], names=["host", "salt", "wrapper"])
+            return pa.RecordBatch.from_arrays([pa.array(list(found)), pa.array([salt] * len(found), pa.int32()), pa.array([pack_all(w) for w in found.values()])], names=["host", "salt", "wrappers"])
 
         for batch in batches:
             for h, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
-                own = page_wrapper(page)
-                found[h] = merge(found[h], own) if h in found else own
+                found[h] = join_templates(found.get(h, []), [page_wrapper(page)])
             if len(found) > 20_000:
                 yield emit()
                 found.clear()
@@ -398,34 +534,34 @@ def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html
             yield emit()
 
     def merged(table: pa.Table) -> pa.Table:
-        node = None
-        for text in table.column("wrapper").to_pylist():
-            other = Node.unpack(json.loads(text))
-            node = other if node is None else merge(node, other)
-        return pa.table({"host": table.column("host").slice(0, 1), "salt": pa.array([0], pa.int32()), "wrapper": [json.dumps(node.pack())]})
+        all_of: list[Node] = []
+        for text in sorted(table.column("wrappers").to_pylist()):  # rows come in any order
+            all_of = join_templates(all_of, unpack_all(text))
+        return pa.table({"host": table.column("host").slice(0, 1), "salt": pa.array([0], pa.int32()), "wrappers": [pack_all(all_of)]})
 
-    schema = "host string, salt int, wrapper string"
+    schema = "host string, salt int, wrappers string"
     picked = pages.select(host(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
     salted = picked.mapInArrow(parts, schema).groupBy("host", "salt").applyInArrow(merged, schema)
-    return salted.groupBy("host").applyInArrow(merged, schema).select("host", "wrapper")
+    return salted.groupBy("host").applyInArrow(merged, schema).select("host", "wrappers")
 
 
 def extract(pages: DataFrame, wrappers: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(id, url, text) of every page by its host's wrapper."""
+    """(id, url, text) of every page by its host's wrappers, which must be stored."""
     page = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), F.col(html_col).alias("_html"), host(F.col(url_col)).alias("host"))
-    joined = page.join(wrappers, "host", "left").select("_id", "_url", "_html", "wrapper")
+    few = (wrappers.agg(F.sum(F.length("wrappers"))).first()[0] or 0) <= BROADCAST_BYTES
+    joined = page.join(F.broadcast(wrappers) if few else wrappers, "host", "left").select("_id", "_url", "_html", "wrappers")
     id_type = pages.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str | None, Keep | set] = {None: set()}
+        known: dict[str | None, Templates] = {None: Templates([])}
         for batch in batches:
             out = []
-            for page, wrapper in zip(batch.column("_html").to_pylist(), batch.column("wrapper").to_pylist(), strict=True):
-                if wrapper not in known:
+            for page, packed in zip(batch.column("_html").to_pylist(), batch.column("wrappers").to_pylist(), strict=True):
+                if packed not in known:
                     if len(known) > 500:
                         known.clear()
-                    known[wrapper] = Keep(Node.unpack(json.loads(wrapper))) if wrapper else set()
-                out.append(main_text(page, known[wrapper]))
+                    known[packed] = Templates(unpack_all(packed) if packed else [])
+                out.append(main_text(page, known[packed].of(page)))
             yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_url"), pa.array(out, pa.string())], names=[id_col, url_col, "text"])
 
     return joined.mapInArrow(run, f"`{id_col}` {id_type}, `{url_col}` string, text string")

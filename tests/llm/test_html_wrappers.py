@@ -54,7 +54,7 @@ def test_wrappers_do_not_depend_on_the_order():
         return out
 
     a, b = fold(pages), hw.merge(fold(pages[6:]), fold(pages[:6]))
-    assert hw.main_paths(a) == hw.main_paths(b)
+    assert hw.Keep(a).slots == hw.Keep(b).slots and hw.Keep(a).test is hw.Keep(b).test
     assert a.pages == b.pages == 12
     assert json.loads(json.dumps(a.pack())) == hw.Node.unpack(a.pack()).pack()
 
@@ -125,3 +125,80 @@ def test_copies_of_one_page_keep_their_text():
     other = "<body><div class=top0>other words</div><div class=mid>a second page</div></body>"
     keep = hw.Keep(folded([page] * 5 + [other] * 4))
     assert [hw.main_text(p, keep) for p in (page, other)] == ["all words\n\nthe only page of this host", "other words\n\na second page"]
+
+
+def unnamed(r, n):
+    """No name tells the article; the boxes around it change on every page, as long as an article's paragraph."""
+    paras = [words(r, r.randint(8, 40)) for _ in range(n)]
+    body = "".join(f"<p>{p}</p>" for p in paras)
+    page = f'<div class=k1><p>all of our pages say so</p><div class=k2><p>{words(r, 12)}</p></div><div class=k3><div class=k4>{body}</div></div><div class=k5>{words(r, 9)}</div></div><div class=k6>the last words of this place, as ever</div>'
+    return page, "\n\n".join(paras)
+
+
+def test_the_wrapper_decides(spark):
+    """A page of one short paragraph can't tell its article from the boxes around it; the wrapper of its host can."""
+    r = random.Random(9)
+    rows = [unnamed(r, n) for n in (1, 6, 9, 1, 7, 5, 8, 1)]
+    df = spark.createDataFrame([(i, "http://a.example/", p) for i, (p, _) in enumerate(rows)], "page_id long, url string, html string")
+    got = [x.text for x in hw.main_texts(df).orderBy("page_id").collect()]
+    assert got == [want for _, want in rows]
+    alone = [hw.main_text(p, hw.Keep(hw.page_wrapper(p))) for p, _ in rows]
+    assert sum(a != b for a, b in zip(alone, got, strict=True)) >= 2
+
+
+def test_what_all_pages_have_is_found_by_alignment():
+    """Without the alignment of pages (every page its own wrapper), parts of the template stay."""
+    r = random.Random(10)
+    always = words(r, 50)
+    rows = [(f"<div class=k1>{always}</div><div class=k2><div class=k3>{text}</div></div>", text) for text in (words(r, 9) for _ in range(5))]
+    keep = hw.Keep(folded([p for p, _ in rows]))
+    for p, want in rows:
+        assert hw.main_text(p, keep) == want
+        assert always in hw.main_text(p, hw.Keep(hw.page_wrapper(p)))
+
+
+def test_a_host_of_two_templates(spark):
+    r = random.Random(11)
+    rows = []
+    for i in range(12):
+        page, want = semantic(r, 4) if i % 2 else plain(r, 5)
+        rows.append((i, page, want))
+    df = spark.createDataFrame([(i, "https://h.example/", p) for i, p, _ in rows], "page_id long, url string, html string").repartition(3)
+    got = {x.page_id: x.text for x in hw.main_texts(df).collect()}
+    assert got == {i: want for i, _, want in rows}
+
+
+def test_a_name_alone_does_not_decide():
+    r = random.Random(12)
+    pages, want = [], []
+    for _ in range(5):
+        title, text, note = words(r, 4), words(r, 40), words(r, 6)
+        pages.append(f'<body><h1>{title}</h1><div class="story-side"><p>{text}</p></div><div class="ad">{note}</div></body>')
+        want.append(f"{title}\n\n{text}")
+    keep = hw.Keep(folded(pages))
+    assert [hw.main_text(p, keep) for p in pages] == want
+    assert hw.main_text('<div class="story-side"><p>kept words</p></div>', hw.Keep(hw.page_wrapper('<div class="story-side"><p>kept words</p></div>'))) == "kept words"
+    long = '<article><p>short words</p></article><section class="comments">' + "<p>a reader says many words here</p>" * 40 + "</section>"
+    assert hw.main_text(long, hw.Keep(hw.page_wrapper(long))) == "short words"
+
+
+def test_long_pages_and_repeated_rows(spark):
+    r = random.Random(13)
+    paras = [words(r, 30) for _ in range(4000)]
+    page = "<nav>x</nav><article>" + "".join(f"<p>{p}</p>" for p in paras) + "</article>"
+    df = spark.createDataFrame([(1, "http://a.example", page), (1, "http://a.example", page)], "page_id long, url string, html string")
+    assert [x.text for x in hw.main_texts(df).collect()] == ["\n\n".join(paras)] * 2
+
+
+def test_more_templates_than_the_bound_lose_nothing():
+    r = random.Random(14)
+    pages = []
+    for k in range(hw.TEMPLATES + 6):
+        text = words(r, 12)
+        pages.append((f"<div class={'q' * (k + 1)}><section class={'z' * (k + 1)}><p>{text}</p><p>{text}</p></section></div>", f"{text}\n\n{text}"))
+    all_of = []
+    for p, _ in pages:
+        all_of = hw.join_templates(all_of, [hw.page_wrapper(p)])
+    assert len(all_of) <= hw.TEMPLATES
+    known = hw.Templates(hw.unpack_all(hw.pack_all(all_of)))
+    assert [hw.main_text(p, known.of(p)) for p, _ in pages[: hw.TEMPLATES]] == [w for _, w in pages[: hw.TEMPLATES]]
