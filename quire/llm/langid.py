@@ -10,13 +10,18 @@ largest sum of marginals, its score the mean of that label's marginals.
 The model is fitted on a bounded sample: about SAMPLE_DOCS labelled documents of each language, drawn by a hash of the id
 (all if there are fewer), and SEQUENCES stretches of LENGTH words from each.  Prediction reads whole texts.
 
-Null text, or one without letters: `und`, score 0.  If no document is labelled, every text is `und`.  Repeated rows get
-equal results; other columns are ignored; no rows: no rows.
+Marginals add up to one over the languages learned, whatever the text.  So whether a text is in any of them is told by
+another figure: the share of the letter triples in its words that the model knows.  One in every CALIBRATE texts of the
+sample is not fitted but measured, and the floor is what all but FLOOR_SHARE of these texts reach, less FLOOR_SLACK.
+
+Null text, or one without letters: `und`, score 0.  If no document is labelled, every text is `und`.  Of languages with equal
+sums the first in the alphabet is taken.  Repeated rows get equal results; other columns are ignored; no rows: no rows.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -34,7 +39,11 @@ EPOCHS = 40
 MIN_COUNT = 3
 MEMO_WORDS = 200_000
 SLICE_WORDS = 250_000
-LETTERS = re.compile(r"[^\W\d_]+")
+CALIBRATE, FLOOR_SHARE, FLOOR_SLACK = 8, 0.01, 0.2
+SURE = 4
+#: What is in \w and no decimal digit, but no letter either: other numbers.
+OTHER_NUMBERS = "".join(c for c in map(chr, range(0x80, 0x20000)) if c.isnumeric() and not c.isdecimal() and not unicodedata.category(c).startswith("L"))
+LETTERS = re.compile(rf"[^\W\d_{OTHER_NUMBERS}]+")
 
 
 def features(word: str) -> list[str]:
@@ -46,24 +55,28 @@ def features(word: str) -> list[str]:
 
 
 class Model:
-    """languages, the number of each feature, weights [feature, language], transitions [from, to]."""
+    """languages, the number of each feature, weights [feature, language], transitions [from, to], and the floor: the least
+    share of known letter triples of a text in one of the languages."""
 
-    def __init__(self, languages: list[str], numbers: dict[str, int], weights: np.ndarray, transitions: np.ndarray):
-        self.languages, self.numbers, self.weights, self.transitions = languages, numbers, weights, transitions
+    def __init__(self, languages: list[str], numbers: dict[str, int], weights: np.ndarray, transitions: np.ndarray, floor: float = 0.0):
+        self.languages, self.numbers, self.weights, self.transitions, self.floor = languages, numbers, weights, transitions, floor
 
     def parts(self) -> tuple:
-        return self.languages, self.numbers, self.weights, self.transitions
+        return self.languages, self.numbers, self.weights, self.transitions, self.floor
 
 
-def _flat(words: list[str], numbers: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers of the known features of words, one after another, and where each word begins; feature 0 is the bias."""
+def _flat(words: list[str], numbers: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers of the known features of words, one after another, where each word begins, and how many of its letter triples
+    (as many as it has letters) are known; feature 0 is the bias."""
     get = numbers.get
-    flat, begin = [], []
+    flat, begin, triples = [], [], []
     for w in words:
         begin.append(len(flat))
         flat.append(0)
-        flat += [n for f in features(w) if (n := get(f)) is not None]
-    return np.array(flat, dtype=np.int64), np.array(begin, dtype=np.int64)
+        found = list(map(get, features(w)))
+        triples.append(sum(n is not None for n in found[-len(w) :]))
+        flat += [n for n in found if n is not None]
+    return np.array(flat, dtype=np.int64), np.array(begin, dtype=np.int64), np.array(triples, dtype=np.int64)
 
 
 def forward_backward(emit: np.ndarray, sizes: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -125,7 +138,7 @@ def fit(sequences: list[tuple[list[str], list[int]]], languages: list[str], epoc
         for f in features(w):
             count[f] = count.get(f, 0) + n
     numbers = {f: i + 1 for i, f in enumerate(f for f, n in count.items() if n >= MIN_COUNT)}
-    flat, begin = _flat(list(index), numbers)
+    flat, begin, _ = _flat(list(index), numbers)
     owner = np.repeat(np.arange(len(index)), np.diff(np.append(begin, len(flat))))
     w, t = np.zeros((len(numbers) + 1, k)), np.zeros((k, k))
     last = np.cumsum(sizes) - 1
@@ -185,46 +198,64 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     picked = labelled.where(F.pmod(F.xxhash64(F.col("i").cast("string"), F.lit(7)), F.lit(whole)) <= limit[F.col("l")])
     rows = sorted((r.t, r.l) for r in picked.select("t", "l").collect())
     languages = sorted({l for _, l in rows})  # noqa: E741
-    sequences = training_sequences(rows, languages)
-    return fit(sequences, languages) if sequences else None
+    measured = rows[CALIBRATE - 1 :: CALIBRATE] if len(rows) >= 20 * CALIBRATE else []
+    held = set(measured)
+    sequences = training_sequences([r for r in rows if r not in held], languages)
+    if not sequences:
+        return None
+    model = fit(sequences, languages)
+    shares = [known_share(split_words(t), model.numbers) for t, _ in measured]
+    if shares := [x for x in shares if x is not None]:
+        model.floor = max(0.0, float(np.quantile(shares, FLOOR_SHARE)) - FLOOR_SLACK)
+    return model
+
+
+def known_share(words: list[str], numbers: dict[str, int]) -> float | None:
+    """The share of the letter triples of words that are known; None without words."""
+    return float(_flat(words, numbers)[2].sum()) / sum(map(len, words)) if words else None
 
 
-def labeller(shared) -> Callable[[list[str | None]], tuple[list[str], list[float], list]]:
-    """A function from texts to their languages, scores and shares; shared is a broadcast of Model.parts() or None."""
+def labeller(shared) -> Callable[[list[str | None]], tuple[list[str], list[float], list, list[float]]]:
+    """A function from texts to their languages, scores, shares of languages and shares of known letter triples; shared is a
+    broadcast of Model.parts() or None."""
     known = Model(*shared.value) if shared.value else None
     trans = np.exp(known.transitions).astype(np.float32) if known else None
     memo: dict[str, int] = {}
     table = np.zeros((0, len(known.languages) if known else 0), dtype=np.float32)
+    triples = np.zeros((0, 2), dtype=np.int64)
 
-    def sums(texts: list[list[str]]) -> np.ndarray:
-        """[text, language] sums of marginals."""
-        nonlocal table
+    def sums(texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """[text, language] sums of marginals, and the share of known triples of each text."""
+        nonlocal table, triples
         if len(memo) > MEMO_WORDS:
             memo.clear()
-            table = table[:0]
+            table, triples = table[:0], triples[:0]
         flat = [w for t in texts for w in t]
         place = list(map(memo.get, flat))
         if None in place:
             new = list({w for w, p in zip(flat, place, strict=True) if p is None})
-            parts, begin = _flat(new, known.numbers)
+            parts, begin, found = _flat(new, known.numbers)
             score = np.add.reduceat(known.weights[parts], begin)
             memo.update(zip(new, range(len(table), len(table) + len(new)), strict=True))
             table = np.concatenate([table, np.exp(score - score.max(axis=1, keepdims=True)).astype(np.float32)])
+            triples = np.concatenate([triples, np.stack([found, np.fromiter(map(len, new), np.int64, len(new))], axis=1)])
             place = list(map(memo.__getitem__, flat))
         sizes = np.array([len(t) for t in texts], dtype=np.int64)
-        gamma, _, _ = forward_backward(np.maximum(table[np.array(place, dtype=np.int64)], 1e-12), sizes, trans)
-        return np.add.reduceat(gamma, np.cumsum(sizes) - sizes, dtype=np.float64)
+        at, begin = np.array(place, dtype=np.int64), np.cumsum(sizes) - sizes
+        gamma, _, _ = forward_backward(np.maximum(table[at], 1e-12), sizes, trans)
+        all_of = np.add.reduceat(triples[at], begin)
+        return np.add.reduceat(gamma, begin, dtype=np.float64), all_of[:, 0] / all_of[:, 1]
 
-    def label(column: list[str | None]) -> tuple[list[str], list[float], list]:
-        lang, score, shares = ["und"] * len(column), [0.0] * len(column), [None] * len(column)
+    def label(column: list[str | None]) -> tuple[list[str], list[float], list, list[float]]:
+        lang, score, shares, shown = ["und"] * len(column), [0.0] * len(column), [None] * len(column), [0.0] * len(column)
         held, texts, n = [], [], 0
 
         def flush():
             if texts:
-                for i, t, s in zip(held, texts, sums(texts), strict=True):
+                for i, t, s, x in zip(held, texts, *sums(texts), strict=True):
                     s = s / len(t)
                     best = int(s.argmax())
-                    lang[i], score[i], shares[i] = known.languages[best], float(min(1.0, s[best])), s
+                    lang[i], score[i], shares[i], shown[i] = known.languages[best], float(min(1.0, s[best])), s, float(x)
             held.clear()
             texts.clear()
 
@@ -238,37 +269,42 @@ def labeller(shared) -> Callable[[list[str | None]], tuple[list[str], list[float
                     flush()
                     n = 0
         flush()
-        return lang, score, shares
+        return lang, score, shares, shown
 
     return label
 
 
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, lang_pred, score, shares array<double>: the mean marginal of each of the model's languages)."""
+    """(id, lang_pred, score, shares array<double>: the mean marginal of each of the model's languages, known: the share of
+    known letter triples)."""
     shared = docs.sparkSession.sparkContext.broadcast(model.parts() if model else None)
 
     def make():
         label = labeller(shared)
 
         def step(batch: pa.RecordBatch) -> dict:
-            lang, score, shares = label(batch.column(1).to_pylist())
-            return {id_col: batch.column(0), "lang_pred": lang, "score": score, "shares": shares}
+            lang, score, shares, known = label(batch.column(1).to_pylist())
+            return {id_col: batch.column(0), "lang_pred": lang, "score": score, "shares": shares, "known": known}
 
         return step
 
-    return map_rows(docs.select(id_col, text_col), f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, lang_pred string, score double, shares array<double>", make)
+    return map_rows(docs.select(id_col, text_col), f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, lang_pred string, score double, shares array<double>, known double", make)
 
 
-def keep_known(docs: DataFrame, model: Model | None, text_col: str = "text", min_score: float = 0.0) -> DataFrame:
-    """docs, with all their columns, without the rows of language `und` or of a score under min_score."""
+def keep_known(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
+    """docs, with all their columns, without the rows of language `und`, or whose share of known letter triples is under
+    the model's floor; a short text's share is given the benefit of SURE standard errors."""
     shared, at = docs.sparkSession.sparkContext.broadcast(model.parts() if model else None), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
         label = labeller(shared)
+        floor = shared.value[4] if shared.value else 0.0
         for batch in batches:
-            lang, score, _ = label(batch.column(at).to_pylist())
-            yield batch.filter(pa.array([x != "und" and s >= min_score for x, s in zip(lang, score, strict=True)], type=pa.bool_()))
+            texts = batch.column(at).to_pylist()
+            lang, _, _, known = label(texts)
+            keep = [x != "und" and k + SURE * (floor * (1 - floor) / max(1, len(t or ""))) ** 0.5 >= floor for x, k, t in zip(lang, known, texts, strict=True)]
+            yield batch.filter(pa.array(keep, type=pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -58,12 +58,34 @@ def test_words_of_switched_text_are_labelled():
     languages = sorted(STEMS)
     model = langid.fit(langid.training_sequences(rows, languages), languages)
     words = langid.split_words(text(r, "aa", 30) + " " + text(r, "cc", 30))
-    flat, begin = langid._flat(words, model.numbers)
+    flat, begin, _ = langid._flat(words, model.numbers)
     score = np.add.reduceat(model.weights[flat], begin)
     gamma, _, _ = langid.forward_backward(np.exp(score - score.max(axis=1, keepdims=True)).astype(float), np.array([60]), np.exp(model.transitions))
     assert (gamma.argmax(axis=1) == [0] * 30 + [2] * 30).mean() > 0.95
 
 
+def test_texts_in_no_language_learned_are_rejected(spark):
+    """Clean texts stay, also short ones; texts of other syllables, letters and scripts go."""
+    r = random.Random(21)
+    df = spark.createDataFrame(corpus(), "doc_id bigint, text string, lang string")
+    model = langid.train(df)
+    assert model.floor > 0.5
+    other = ["kivu", "zopa", "wax", "jyk", "qo", "mub"]
+    foreign = [(i, " ".join("".join(r.choice(other) for _ in range(r.randint(1, 3))) for _ in range(r.randint(8, 80)))) for i in range(100)]
+    foreign += [(100 + i, "".join(r.choice("bcdfgjklmpqrsvwxz ") for _ in range(200))) for i in range(50)] + [(200, "слово за словом " * 5), (201, "言葉 と 言葉 の 間 に 言葉")]
+    clean = [(1000 + i, text(r, r.choice(list(STEMS)), r.randint(1, 60))) for i in range(300)]
+    kept = {x.doc_id for x in langid.keep_known(spark.createDataFrame(foreign + clean, "doc_id bigint, text string"), model).collect()}
+    assert not kept & {i for i, _ in foreign}
+    assert len(kept & {i for i, _ in clean}) >= 298
+
+
+def test_other_numbers_are_no_letters(spark):
+    assert [langid.split_words(x) for x in ("½", "²x", "Ⅷ ①", "Ab9c_d", "日本 ñ")] == [[], ["x"], [], ["ab", "c", "d"], ["日本", "ñ"]]
+    rows = spark.createDataFrame(corpus(200), "doc_id bigint, text string, lang string")
+    got = langid.predict(spark.createDataFrame([(1, "½ Ⅷ 12")], "doc_id bigint, text string"), langid.train(rows)).first()
+    assert (got.lang_pred, got.score) == ("und", 0.0)
+
+
 def test_odd_texts_and_no_labels(spark):
     odd = [(1, None), (2, ""), (3, "12 .. 5"), (4, "the " * 30000), (None, "thing"), (5, "the"), (5, "the")]
     df = spark.createDataFrame(odd, "doc_id bigint, text string")
