@@ -76,3 +76,40 @@ def test_estimate_ignores_contamination(spark):
 
 def test_chi_square():
     assert abs(quality.chi2_quantile(0.95, 4) - 9.4877) < 1e-3 and abs(quality.chi2_cdf(5.0, 6) - 0.4562) < 1e-3
+
+
+def test_groups_beyond_the_broadcast_are_joined_with_salts(spark, monkeypatch):
+    r = np.random.default_rng(6)
+    rows = spark.createDataFrame([("l", f"s{i % 3}", *map(float, x)) for i, x in enumerate(r.normal(3, 1, (900, 4)))], "lang string, source string, x0 double, x1 double, x2 double, x3 double")
+    want = {x.g: x for x in quality.estimate(rows).collect()}
+    monkeypatch.setattr(quality, "BROADCAST_GROUPS", 0)
+    got = {x.g: x for x in quality.estimate(rows).collect()}
+    assert got.keys() == want.keys() and len(got) == 5
+    assert all(np.allclose(got[g]["mean"], want[g]["mean"]) and got[g].rows == want[g].rows for g in got)
+
+
+def test_the_start_of_least_determinant_wins(spark):
+    """Four in ten rows lie apart, so far that mean and covariance of all rows lead nowhere; the estimate is that of the rest."""
+    r = np.random.default_rng(7)
+    rows = np.vstack([r.normal(0, 0.3, (1400, 4)), r.normal([6, 6, 0, 0], 0.1, (400, 4))])
+    got = quality.estimate(spark.createDataFrame([("l", "s", *map(float, x)) for x in rows], "lang string, source string, x0 double, x1 double, x2 double, x3 double")).collect()
+    assert all(np.allclose(g["mean"], 0, atol=0.05) for g in got)
+
+
+def test_one_statistic_alone_rejects(spark):
+    """A text that is usual but for its symbols, repeated lines, repeated words or length of words."""
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 9)))
+    line = lambda n: " ".join(word() for _ in range(n))
+    rows = [(i, "\n".join(line(12) for _ in range(10))) for i in range(400)]
+    same, three = line(12), line(3)
+    planted = [
+        " ".join(w + ("#" if k % 5 == 0 else "") for k, w in enumerate(line(120).split())),
+        "\n".join([same] * 4 + [line(12) for _ in range(6)]),
+        line(60) + f" {three}" * 15,
+        " ".join(word() + word() + word() for _ in range(120)),
+    ]
+    df = spark.createDataFrame([*rows, *((1000 + k, t) for k, t in enumerate(planted))], "doc_id bigint, text string").selectExpr("*", "'en' AS lang", "'s' AS source")
+    got = {x.doc_id: x for x in quality.judge(df).collect()}
+    assert not any(got[1000 + k].base_failed or got[1000 + k].kept for k in range(len(planted)))
+    assert sum(got[i].kept for i, _ in rows) >= 398
