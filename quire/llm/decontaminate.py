@@ -1,15 +1,20 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming search, exact similarity.
 
 An item's shingles are runs of five words (A-Z in lower case), each weighted by its length in bytes, so that short and
-common words count less, whatever block of items is searched.  A window of an item's length that shares no shingle with
-the item has similarity 0; so windows are laid wherever they hold a shingle of an item of their length, at every place,
-cut off at the text's ends.  Every such window gets a SimHash; a multi-index over blocks of the items' SimHashes (probing
-each block within its share of the radius) returns every item within RADIUS bits; an item is found if the weighted
-Jaccard similarity of window and item is at least 0.8.
-
-The benchmark is sent to the executors in blocks of BLOCK_BYTES of text; one pass over the documents is made for each
-block, so a benchmark of any size works.  Null or empty texts and items, and items of fewer than five words, match
-nothing.  Repeated rows of documents give repeated rows; of equal items each is found.  Other columns are ignored.
+common words count less.  A window of an item's length that shares no shingle with the item has similarity 0; so windows
+are laid wherever they hold a shingle of an item of their length, at every place, cut off at the text's ends.  Every
+such window gets a SimHash; a multi-index over blocks of the items' SimHashes (probing each block within its share of the
+radius) returns every item within RADIUS bits; an item is found if the weighted Jaccard similarity of window and item is
+at least 0.8.  Of an item's windows in a text the most similar is told, of equal ones the first.
+
+The documents are read once, whatever the size of the benchmark: a bitmap of the hashes of all its shingles, SPARE bits to
+a shingle and 2^MAX_BITS bits at most, goes to the executors, and documents without a hit are done.  The rest, which hold
+a shingle of the benchmark or, rarely, one that collides, are stored and searched with the benchmark in blocks of
+BLOCK_BYTES of text, so that an index fits a task's memory.
+
+Null or empty texts and items, and items of fewer than five words, match nothing.  Texts of any length are searched whole.
+Repeated rows of documents give repeated rows; of equal items each is found.  Other columns are ignored, whatever their
+names.  No documents or no items: no rows.
 """
 
 from __future__ import annotations
@@ -21,16 +26,20 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget
+from .common import forget, materialize
 
 SHINGLE = 5
 SIMILARITY = 0.8
 RADIUS = 22
 INDEX_BLOCKS = 8
 BLOCK_BYTES = 2 << 20
+SPARE, MIN_BITS, MAX_BITS = 64, 16, 29
+MEMO_WORDS = 200_000
+BROADCAST_ROWS = 1_000_000
 
 
 def split_words(text: str | None) -> list[bytes]:
@@ -163,12 +172,74 @@ def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes:
         yield block
 
 
+class WordHashes(dict):
+    """Word (bytes) -> 64-bit hash, kept for words seen before."""
+
+    def __missing__(self, word: bytes) -> int:
+        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        return value
+
+
+def shingle_hashes(text: str | None, hashes: WordHashes) -> np.ndarray:
+    """A 64-bit hash of every run of five words."""
+    words = split_words(text)
+    if len(hashes) > MEMO_WORDS:
+        hashes.clear()
+    return Index.codes(np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words)))
+
+
+def slots(codes: np.ndarray, bits: int) -> np.ndarray:
+    codes = codes ^ (codes >> np.uint64(32))
+    return (codes * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - bits)
+
+
+def shingle_bitmap(benchmark: DataFrame, text_col: str) -> tuple[np.ndarray, int]:
+    """(bytes, number of address bits): a bit for every shingle's slot; the driver gets 4 KB for each part in use."""
+    words = F.size(F.split(F.trim(F.col(text_col)), r"[\x20\x09-\x0D]+"))
+    count = benchmark.where(F.col(text_col).isNotNull()).agg(F.sum(words)).first()[0] or 0
+    bits = min(MAX_BITS, max(MIN_BITS, (SPARE * count).bit_length()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            found = [slots(shingle_hashes(t, hashes), bits) for t in batch.column(0).to_pylist()]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(found)).astype(np.int64))], names=["slot"])
+
+    # bitmap functions count positions of a bucket from 0, buckets from 1, numbers from 1
+    place = F.col("slot") + 1
+    parts = benchmark.select(text_col).mapInArrow(run, "slot bigint").groupBy(F.bitmap_bucket_number(place).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bitmap"))
+    out = np.zeros(1 << (bits - 3), dtype=np.uint8)
+    for part, bitmap in parts.toLocalIterator():
+        out[(part - 1) << 12 : part << 12] = np.frombuffer(bitmap, dtype=np.uint8)
+    return out, bits
+
+
+def touched(docs: DataFrame, benchmark: DataFrame, text_col: str, item_text_col: str) -> DataFrame:
+    """The rows of docs (all columns) that hold a shingle of the benchmark, and few others."""
+    shared = docs.sparkSession.sparkContext.broadcast(shingle_bitmap(benchmark, item_text_col))
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+        hashes, (bitmap, bits) = WordHashes(), shared.value
+        for batch in batches:
+            keep = []
+            for t in batch.column(at).to_pylist():
+                slot = slots(shingle_hashes(t, hashes), bits)
+                keep.append(bool((bitmap[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1).any()))
+            yield batch.filter(pa.array(keep, type=pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(id, item, similarity, first_word, n_words) for every document and item that it contains."""
     spark = docs.sparkSession
     id_type, item_type = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
     schema = f"`{id_col}` {id_type}, `{item_col}` {item_type}, similarity double, first_word int, n_words int"
     out = spark.createDataFrame([], schema)
+    rows = materialize(touched(docs.select(id_col, text_col), benchmark, text_col, item_text_col), "touched")
     for block in item_blocks(benchmark, item_col, item_text_col, block_bytes):
         index = spark.sparkContext.broadcast(block)
 
@@ -184,21 +255,19 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
                 item, s, first, n = zip(*rows, strict=True) if rows else ([], [], [], [])
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(item, pa.from_numpy_dtype(np.int64) if item_type == "bigint" else None), pa.array(s, pa.float64()), pa.array(first, pa.int32()), pa.array(n, pa.int32())], names=[id_col, item_col, "similarity", "first_word", "n_words"])
 
-        out = out.unionByName(docs.select(id_col, text_col).mapInArrow(run, schema))
+        out = out.unionByName(rows.mapInArrow(run, schema))
     return out
 
 
 def remove_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """docs, with all their columns, without the rows whose text contains an item."""
-    at = docs.columns.index(text_col)
-    for block in item_blocks(benchmark, item_col, item_text_col, block_bytes):
-        index = docs.sparkSession.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            forget()
-            search = Index(index.value).search
-            for batch in batches:
-                yield batch.filter(pa.array([not search(t) for t in batch.column(at).to_pylist()], type=pa.bool_()))
-
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    """docs, with all their columns, without the rows whose text contains an item.  Leaks are known by two hashes of the text,
+    so that rows without an id count as well."""
+    key = lambda text: [F.xxhash64(text).alias("h"), F.xxhash64(text, F.lit(1)).alias("g")]
+    text = F.col(text_col)
+    texts = docs.select(F.struct(*key(text)).alias("key"), text.alias("text")).where("text is not null")
+    items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text"))
+    found = find_leaks(texts, items, "key", "text", "item", "text", block_bytes)
+    gone = materialize(found.select("key.h", "key.g").distinct(), "leaks")
+    whole_row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *key(text))
+    few = gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return whole_row.join(F.broadcast(gone) if few else gone, ["h", "g"], "left_anti").select("row.*")

@@ -1,4 +1,5 @@
 import random
+import re
 from collections import Counter
 
 from quire.llm import decontaminate as dc
@@ -26,19 +27,39 @@ def fixture(r):
     return docs + [(500, None), (501, ""), (502, items[0][1]), (502, items[0][1])], items
 
 
+def plain_shingles(words):
+    return Counter(" ".join(words[i : i + 5]) for i in range(len(words) - 4))
+
+
+def plain_similarity(a, b):
+    weight = lambda s: len(s.encode())
+    more = sum(weight(s) * max(a[s], b[s]) for s in a.keys() | b.keys())
+    return sum(weight(s) * min(a[s], b[s]) for s in a.keys() & b.keys()) / more if more else 0.0
+
+
+def fold(text):
+    return [w for w in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if w]
+
+
 def brute(docs, items, limit=0.8):
-    """Every item-sized window of every text against every item."""
-    index = dc.Index([x for x in items if x[1]])
-    out = set()
+    """(doc, item) -> (similarity, first word, words): every item-sized window of every text against every item; nothing of
+    the operator is used."""
+    out = {}
     for d, t in docs:
-        w = dc.split_words(t)
-        for k, n in enumerate(index.sizes):
-            for at in range(1 - n, len(w)):
-                a, b = max(0, at), min(len(w), at + n)
-                bag = Counter(dc.shingles(w[a:b]))
-                if bag.keys() & index.bags[k].keys() and index.weighted(bag, index.bags[k]) >= limit:
-                    out.add((d, index.ids[k]))
-                    break
+        w = fold(t)
+        for i, x in items:
+            item = fold(x)
+            bag, known = plain_shingles(item), set(item)
+            if not bag or len(known & set(w)) < 3:
+                continue
+            best = (0.0, 0, 0)
+            for at in range(1 - len(item), len(w)):
+                a, b = max(0, at), min(len(w), at + len(item))
+                s = plain_similarity(plain_shingles(w[a:b]), bag)
+                if s > best[0]:
+                    best = (s, a, b - a)
+            if best[0] >= limit:
+                out[d, i] = best
     return out
 
 
@@ -49,8 +70,9 @@ def test_equals_brute_force(spark):
     want = brute(docs, items)
     assert len({d for d, _ in want}) > 40
     for size in (1 << 20, 500):
-        got = dc.find_leaks(df, bench, block_bytes=1 << 20).collect()
-        assert {(x.doc_id, x.item_id) for x in got} == want
+        got = dc.find_leaks(df, bench, block_bytes=size).collect()
+        assert {(x.doc_id, x.item_id): (round(x.similarity, 9), x.first_word, x.n_words) for x in got} == {k: (round(s, 9), a, n) for k, (s, a, n) in want.items()}
+        assert Counter(x.doc_id for x in got)[502] == 2
     left = dc.remove_leaks(df, bench, block_bytes=500)
     assert left.columns == df.columns
     assert {x.doc_id for x in left.collect()} == {d for d, _ in docs} - {d for d, _ in want}
@@ -65,3 +87,29 @@ def test_index_returns_all_within_the_radius():
         for b in r.sample(range(64), r.randint(0, 24)):
             p ^= 1 << b
         assert index.near(p) == [k for k, q in enumerate(index.prints) if (p ^ q).bit_count() <= 20]
+
+
+def test_bitmap_holds_every_shingle_and_collisions_change_nothing(spark, monkeypatch):
+    docs, items = fixture(random.Random(9))
+    df, bench = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    bitmap, bits = dc.shingle_bitmap(bench, "text")
+    hashes = dc.WordHashes()
+    for _, t in items:
+        for slot in dc.slots(dc.shingle_hashes(t, hashes), bits).tolist():
+            assert bitmap[slot >> 3] >> (slot & 7) & 1
+    want = sorted(map(tuple, dc.find_leaks(df, bench).collect()))
+    monkeypatch.setattr(dc, "MIN_BITS", 15)
+    monkeypatch.setattr(dc, "SPARE", 0)
+    assert dc.touched(df, bench, "text", "text").count() > dc.touched(df, bench.limit(1), "text", "text").count()
+    assert sorted(map(tuple, dc.find_leaks(df, bench).collect())) == want
+
+
+def test_long_texts_ties_and_rows_without_an_id(spark):
+    r = random.Random(10)
+    item = " ".join(words(r, 30))
+    long = " ".join(words(r, 40000))
+    docs = [(1, f"{long} {item} {long} {item}"), (None, f"x {item}"), (2, long)]
+    df, bench = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame([(7, item), (8, item.upper())], "item_id bigint, text string")
+    got = {(x.doc_id, x.item_id): (x.similarity, x.first_word, x.n_words) for x in dc.find_leaks(df, bench).collect()}
+    assert got == {(d, i): (1.0, at, 30) for d, at in ((1, 40000), (None, 1)) for i in (7, 8)}
+    assert [x.doc_id for x in dc.remove_leaks(df, bench).collect()] == [2]
