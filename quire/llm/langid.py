@@ -43,7 +43,8 @@ CALIBRATE, FLOOR_SHARE, FLOOR_SLACK = 8, 0.01, 0.2
 SURE = 4
 #: What is in \w and no decimal digit, but no letter either: other numbers.
 OTHER_NUMBERS = "".join(c for c in map(chr, range(0x80, 0x20000)) if c.isnumeric() and not c.isdecimal() and not unicodedata.category(c).startswith("L"))
-LETTERS = re.compile(rf"[^\W\d_{OTHER_NUMBERS}]+")
+NUMBERS = re.compile(f"[{OTHER_NUMBERS}]")
+LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def features(word: str) -> list[str]:
@@ -165,7 +166,10 @@ def fit(sequences: list[tuple[list[str], list[int]]], languages: list[str], epoc
 
 
 def split_words(text: str | None) -> list[str]:
-    return LETTERS.findall(text.lower()) if text else []
+    if not text:
+        return []
+    low = text.lower()
+    return LETTERS.findall(low if low.isascii() or not NUMBERS.search(low) else NUMBERS.sub(" ", low))
 
 
 def training_sequences(rows: list[tuple[str, str]], languages: list[str]) -> list[tuple[list[str], list[int]]]:
