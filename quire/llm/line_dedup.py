@@ -80,17 +80,19 @@ def _with_first(places: DataFrame, key: str) -> DataFrame:
 
 def repeated_runs(lines: DataFrame, run_words: int) -> DataFrame:
     """(h, g, first_pos, last_pos) of the stretches to delete, from a stored line_table()."""
-    prints = lines.where("print is not null").select("print", "d", "h", "g", F.col("print_idx").alias("idx")).distinct()
+    prints = materialize(lines.where("print is not null").select("print", "d", "h", "g", F.col("print_idx").alias("idx")).distinct(), "prints")
     found = materialize(_extended(_with_first(prints, "print"), lines, run_words), "runs")
     repeated = prints.groupBy("print").agg(F.count("*").alias("times")).where("times > 1").select("print")
-    window = lambda key, a, z, mark: F.struct(F.col(key).alias("key"), F.col(a).alias("idx"), F.col(z).alias("z"), F.col(mark).alias("print"))
-    windows = lines.select("d", "h", "g", F.inline(F.array(window("on", "idx", "on_end", "print"), window("back", "back_first", "idx", "back_print")))).where("key is not null")
+    marks = prints.join(repeated, "print").groupBy("h", "g").agg(F.collect_set("print").alias("prints"))
     covers = found.groupBy("h", "g").agg(F.collect_list(F.struct("a", "z")).alias("runs"))
-    left = windows.join(repeated, "print", "left_semi").join(covers, ["h", "g"], "left")
-    left = left.where(~F.coalesce(F.exists("runs", lambda r: (r["a"] <= F.col("idx")) & (F.col("z") <= r["z"])), F.lit(False)))
-    # a key repeats only if one of its windows that are left isn't its first place, so of all windows only these keys count
-    open_keys = materialize(left.select("key").distinct(), "windows")
-    again = _with_first(windows.join(open_keys, "key", "left_semi").select("key", "d", "h", "g", "idx").distinct(), "key")
+    window = lambda key, a, z, mark: F.struct(F.col(key).alias("key"), F.col(a).alias("idx"), F.col(z).alias("z"), F.col(mark).alias("print"))
+    known = lines.select("d", "h", "g", "idx", "on", "on_end", "print", "back", "back_first", "back_print").where("print is not null or back is not null")
+    known = known.join(marks.join(covers, ["h", "g"], "left"), ["h", "g"])
+    open_to = lambda w: w["key"].isNotNull() & F.array_contains("prints", w["print"]) & ~F.coalesce(F.exists("runs", lambda r: (r["a"] <= w["idx"]) & (w["z"] <= r["z"])), F.lit(False))
+    both = F.array(window("on", "idx", "on_end", "print"), window("back", "back_first", "idx", "back_print"))
+    left = known.select("d", "h", "g", F.inline(F.filter(both, open_to))).select("key", "d", "h", "g", "idx").distinct()
+    # the first window of a key is among them: a run that covers it would stand at a still earlier place, and so would it
+    again = _with_first(materialize(left, "windows"), "key")
     return found.union(_extended(again, lines, run_words)).select("h", "g", "first_pos", "last_pos").distinct()
 
 
