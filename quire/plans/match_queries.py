@@ -119,11 +119,11 @@ def continuation_surface(spark, d):
     return both.groupBy("doc_id", "round").agg(F.count_if(F.contains(F.col("text"), F.lit("*"))).alias("n_starred"), F.count_if(F.col("text") != F.col("clean")).alias("n_proven"))
 
 
-@query("""SELECT page_id, n, prev, coalesce(n = prev + 1, true) AS consecutive FROM (SELECT page_id, CAST(nullif(regexp_extract(url, '(\\d+)\\D*$', 1), '') AS BIGINT) AS n, lag(CAST(nullif(regexp_extract(url, '(\\d+)\\D*$', 1), '') AS BIGINT)) OVER (PARTITION BY page_id % 10 ORDER BY page_id) AS prev FROM pages)""")
+@query("""SELECT page_id, n, prev, coalesce(n = prev + 1, true) AS consecutive FROM (SELECT page_id, CAST(nullif(regexp_extract(url, '(\\d+)\\D*$', 1), '') AS BIGINT) AS n, lag(CAST(nullif(regexp_extract(url, '(\\d+)\\D*$', 1), '') AS BIGINT)) OVER (PARTITION BY regexp_extract(url, '//([^/]*)', 1) ORDER BY page_id) AS prev FROM pages)""")
 def page_numbers_consecutive(spark, d):
-    found = table(spark, d, "pages").select("page_id", continuations.page_number(F.col("url")).alias("n"))
-    before = F.lag("n").over(Window.partitionBy(F.col("page_id") % 10).orderBy("page_id"))
-    return found.withColumn("prev", before).withColumn("consecutive", F.coalesce(F.col("n") == F.col("prev") + 1, F.lit(True)))
+    found = table(spark, d, "pages").select("page_id", F.regexp_extract("url", "//([^/]*)", 1).alias("host"), continuations.page_number(F.col("url")).alias("n"))
+    before = F.lag("n").over(Window.partitionBy("host").orderBy("page_id"))
+    return found.withColumn("prev", before).drop("host").withColumn("consecutive", F.coalesce(F.col("n") == F.col("prev") + 1, F.lit(True)))
 
 
 # Style spans over a line's characters, two for each line, and its words as intervals.

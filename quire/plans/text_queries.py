@@ -40,7 +40,8 @@ def proof_text_statistics(spark, d):
 
 def _one(name, f, sql):
     def run(spark, d):
-        return _docs(spark, d).select("doc_id", f(F.col("text")).alias("text"), (f(F.col("text")) != F.col("text")).alias("changed"))
+        clean = _docs(spark, d).select("doc_id", F.col("text").alias("t"), f(F.col("text")).alias("text"))
+        return clean.select("doc_id", "text", (F.col("text") != F.col("t")).alias("changed"))
 
     run.__name__ = name
     query(f"SELECT doc_id, x AS text, x <> t AS changed FROM (SELECT doc_id, t, {sql.format('t')} AS x FROM (SELECT doc_id, {SEED} AS t FROM documents))" if sql else None)(run)

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -82,3 +84,37 @@ def test_identifiers(spark):
     got = df.select(labels.uuid5(uuid.NAMESPACE_URL, F.col("t")), labels.is_sha256(F.col("h")), labels.content_id({"b": F.col("n"), "a": F.col("t")})).first()
     assert got[0] == str(uuid.uuid5(uuid.NAMESPACE_URL, "page/1/é"))
     assert got[1] and got[2] == labels.canonical_id({"a": "page/1/é", "b": 3})
+
+
+@pytest.mark.parametrize(
+    ("given", "want"),
+    [
+        ("'Never mind", "'Never mind"),
+        ("'Enough, 'Emily said", "'Enough, 'Emily said"),
+        ("'never mind, 'enough", "‘never mind, ‘enough"),
+        ("'Tilda and 'tilda", "'Tilda and ‘tilda"),
+        ("'Til then, 'til then", "’Til then, ’til then"),
+        ("'Hello,' he said", "‘Hello,’ he said"),
+        ("\"'Tis so,\" and \"'Never\"", "“’Tis so,” and “'Never”"),
+        ("('tis) ('word') [\"x\"]", "('tis) (‘word’) [“x”]"),
+        ("he—'twas—'Never— 'Never—'", "he—’twas—‘Never— ‘Never—’"),
+        ("the '90s, '05 and —'90s", "the ’90s, ’05 and —‘90s"),
+        ("‘tis ‘twas ‘other", "’tis ’twas ‘other"),
+        ("James' dogs' don't", "James’ dogs’ don’t"),
+        ("a,'b '' x", "a,'b ‘' x"),
+        ("", ""),
+    ],
+)
+def test_marks_before_words_like_elisions(spark, given, want):
+    assert one(spark, given, text.curly_quotes) == want
+
+
+def test_accents_in_one_pass_equal_replacement_of_each_code(spark):
+    r = random.Random(3)
+    codes = text.diacritic_codes()
+    for _ in range(30):
+        given = "".join(r.choice([*codes, "[", "]", "[[", "[=", "a", "\n", "[c", ",]"]) for _ in range(20))
+        want = given
+        for code, letter in codes.items():
+            want = want.replace(code, letter)
+        assert one(spark, given, text.accent) == want
