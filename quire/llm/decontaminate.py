@@ -7,8 +7,8 @@ such window gets a SimHash; a multi-index over blocks of the items' SimHashes (p
 radius) returns every item within RADIUS bits; an item is found if the weighted Jaccard similarity of window and item is
 at least 0.8.  Of an item's windows in a text the most similar is told, of equal ones the first.
 
-The documents are read once, whatever the size of the benchmark: a bitmap of the hashes of all its shingles, SPARE bits to
-a shingle and 2^MAX_BITS bits at most, goes to the executors, and documents without a hit are done.  The rest, which hold
+The documents are read once, whatever the size of the benchmark: a Bloom filter of all its shingles, PROBES places for each,
+SPARE bits to a shingle and 2^MAX_BITS bits at most, goes to the executors, and documents without a hit are done.  The rest, which hold
 a shingle of the benchmark or, rarely, one that collides, are stored and searched with the benchmark in blocks of
 BLOCK_BYTES of text, so that an index fits a task's memory.
 
@@ -37,7 +37,8 @@ SIMILARITY = 0.8
 RADIUS = 22
 INDEX_BLOCKS = 8
 BLOCK_BYTES = 2 << 20
-SPARE, MIN_BITS, MAX_BITS = 64, 16, 29
+SPARE, MIN_BITS, MAX_BITS = 64, 20, 30
+PROBES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)
 MEMO_WORDS = 200_000
 BROADCAST_ROWS = 1_000_000
 
@@ -188,13 +189,21 @@ def shingle_hashes(text: str | None, hashes: WordHashes) -> np.ndarray:
     return Index.codes(np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words)))
 
 
-def slots(codes: np.ndarray, bits: int) -> np.ndarray:
+def slots(codes: np.ndarray, bits: int, probe: int) -> np.ndarray:
     codes = codes ^ (codes >> np.uint64(32))
-    return (codes * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - bits)
+    return (codes * np.uint64(probe)) >> np.uint64(64 - bits)
+
+
+def in_bitmap(codes: np.ndarray, bitmap: np.ndarray, bits: int) -> np.ndarray:
+    """The codes that all probes find."""
+    for probe in PROBES:
+        at = slots(codes, bits, probe)
+        codes = codes[(bitmap[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)]
+    return codes
 
 
 def shingle_bitmap(benchmark: DataFrame, text_col: str) -> tuple[np.ndarray, int]:
-    """(bytes, number of address bits): a bit for every shingle's slot; the driver gets 4 KB for each part in use."""
+    """(bytes, number of address bits): a bit for every place of a shingle; the driver gets 4 KB for each part in use."""
     words = F.size(F.split(F.trim(F.col(text_col)), r"[\x20\x09-\x0D]+"))
     count = benchmark.where(F.col(text_col).isNotNull()).agg(F.sum(words)).first()[0] or 0
     bits = min(MAX_BITS, max(MIN_BITS, (SPARE * count).bit_length()))
@@ -202,7 +211,7 @@ def shingle_bitmap(benchmark: DataFrame, text_col: str) -> tuple[np.ndarray, int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            found = [slots(shingle_hashes(t, hashes), bits) for t in batch.column(0).to_pylist()]
+            found = [slots(shingle_hashes(t, hashes), bits, p) for t in batch.column(0).to_pylist() for p in PROBES]
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(found)).astype(np.int64))], names=["slot"])
 
@@ -226,8 +235,7 @@ def touched(docs: DataFrame, benchmark: DataFrame, text_col: str, item_text_col:
         for batch in batches:
             keep = []
             for t in batch.column(at).to_pylist():
-                slot = slots(shingle_hashes(t, hashes), bits)
-                keep.append(bool((bitmap[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1).any()))
+                keep.append(len(in_bitmap(shingle_hashes(t, hashes), bitmap, bits)) > 0)
             yield batch.filter(pa.array(keep, type=pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
