@@ -43,7 +43,9 @@ CALIBRATE, FLOOR_SHARE, FLOOR_SLACK = 8, 0.01, 0.2
 SURE = 4
 #: What is in \w and no decimal digit, but no letter either: other numbers.
 OTHER_NUMBERS = "".join(c for c in map(chr, range(0x80, 0x20000)) if c.isnumeric() and not c.isdecimal() and not unicodedata.category(c).startswith("L"))
-NUMBERS = re.compile(f"[{OTHER_NUMBERS}]")
+#: Texts that may hold some: those of the basic plane by a table (which a class with any beyond wouldn't get), or any beyond.
+MAY_HOLD = re.compile("[" + "".join(c for c in OTHER_NUMBERS if c < "\U00010000") + "]"), re.compile("[\U00010000-\U0010ffff]")
+BLANKED = dict.fromkeys(map(ord, OTHER_NUMBERS), " ")
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -169,7 +171,7 @@ def split_words(text: str | None) -> list[str]:
     if not text:
         return []
     low = text.lower()
-    return LETTERS.findall(low if low.isascii() or not NUMBERS.search(low) else NUMBERS.sub(" ", low))
+    return LETTERS.findall(low.translate(BLANKED) if not low.isascii() and any(p.search(low) for p in MAY_HOLD) else low)
 
 
 def training_sequences(rows: list[tuple[str, str]], languages: list[str]) -> list[tuple[list[str], list[int]]]:
