@@ -68,17 +68,20 @@ class Model:
         return self.languages, self.numbers, self.weights, self.transitions, self.floor
 
 
-def _flat(words: list[str], numbers: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Numbers of the known features of words, one after another, where each word begins, and how many of its letter triples
-    (as many as it has letters) are known; feature 0 is the bias."""
+def _flat(words: list[str], numbers: dict[str, int], measure: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers of the known features of words, one after another, where each word begins, and, if they are to be measured, how
+    many of its letter triples (as many as it has letters) are known; feature 0 is the bias."""
     get = numbers.get
     flat, begin, triples = [], [], []
     for w in words:
         begin.append(len(flat))
         flat.append(0)
-        found = list(map(get, features(w)))
-        triples.append(sum(n is not None for n in found[-len(w) :]))
-        flat += [n for n in found if n is not None]
+        if measure:
+            found = list(map(get, features(w)))
+            triples.append(len(w) - found[-len(w) :].count(None))
+            flat += [n for n in found if n is not None]
+        else:
+            flat += [n for f in features(w) if (n := get(f)) is not None]
     return np.array(flat, dtype=np.int64), np.array(begin, dtype=np.int64), np.array(triples, dtype=np.int64)
 
 
@@ -221,9 +224,9 @@ def known_share(words: list[str], numbers: dict[str, int]) -> float | None:
     return float(_flat(words, numbers)[2].sum()) / sum(map(len, words)) if words else None
 
 
-def labeller(shared) -> Callable[[list[str | None]], tuple[list[str], list[float], list, list[float]]]:
-    """A function from texts to their languages, scores, shares of languages and shares of known letter triples; shared is a
-    broadcast of Model.parts() or None."""
+def labeller(shared, measure: bool) -> Callable[[list[str | None]], tuple[list[str], list[float], list, list[float]]]:
+    """A function from texts to their languages, scores, shares of languages and shares of known letter triples (0 unless
+    measured); shared is a broadcast of Model.parts() or None."""
     known = Model(*shared.value) if shared.value else None
     trans = np.exp(known.transitions).astype(np.float32) if known else None
     memo: dict[str, int] = {}
@@ -240,16 +243,17 @@ def labeller(shared) -> Callable[[list[str | None]], tuple[list[str], list[float
         place = list(map(memo.get, flat))
         if None in place:
             new = list({w for w, p in zip(flat, place, strict=True) if p is None})
-            parts, begin, found = _flat(new, known.numbers)
+            parts, begin, found = _flat(new, known.numbers, measure)
             score = np.add.reduceat(known.weights[parts], begin)
             memo.update(zip(new, range(len(table), len(table) + len(new)), strict=True))
             table = np.concatenate([table, np.exp(score - score.max(axis=1, keepdims=True)).astype(np.float32)])
-            triples = np.concatenate([triples, np.stack([found, np.fromiter(map(len, new), np.int64, len(new))], axis=1)])
+            if measure:
+                triples = np.concatenate([triples, np.stack([found, np.fromiter(map(len, new), np.int64, len(new))], axis=1)])
             place = list(map(memo.__getitem__, flat))
         sizes = np.array([len(t) for t in texts], dtype=np.int64)
         at, begin = np.array(place, dtype=np.int64), np.cumsum(sizes) - sizes
         gamma, _, _ = forward_backward(np.maximum(table[at], 1e-12), sizes, trans)
-        all_of = np.add.reduceat(triples[at], begin)
+        all_of = np.add.reduceat(triples[at], begin) if measure else np.array([[0, 1]] * len(texts))
         return np.add.reduceat(gamma, begin, dtype=np.float64), all_of[:, 0] / all_of[:, 1]
 
     def label(column: list[str | None]) -> tuple[list[str], list[float], list, list[float]]:
@@ -281,20 +285,19 @@ def labeller(shared) -> Callable[[list[str | None]], tuple[list[str], list[float
 
 
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, lang_pred, score, shares array<double>: the mean marginal of each of the model's languages, known: the share of
-    known letter triples)."""
+    """(id, lang_pred, score, shares array<double>: the mean marginal of each of the model's languages)."""
     shared = docs.sparkSession.sparkContext.broadcast(model.parts() if model else None)
 
     def make():
-        label = labeller(shared)
+        label = labeller(shared, measure=False)
 
         def step(batch: pa.RecordBatch) -> dict:
-            lang, score, shares, known = label(batch.column(1).to_pylist())
-            return {id_col: batch.column(0), "lang_pred": lang, "score": score, "shares": shares, "known": known}
+            lang, score, shares, _ = label(batch.column(1).to_pylist())
+            return {id_col: batch.column(0), "lang_pred": lang, "score": score, "shares": shares}
 
         return step
 
-    return map_rows(docs.select(id_col, text_col), f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, lang_pred string, score double, shares array<double>, known double", make)
+    return map_rows(docs.select(id_col, text_col), f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, lang_pred string, score double, shares array<double>", make)
 
 
 def keep_known(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
@@ -304,7 +307,7 @@ def keep_known(docs: DataFrame, model: Model | None, text_col: str = "text") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
-        label = labeller(shared)
+        label = labeller(shared, measure=True)
         floor = shared.value[4] if shared.value else 0.0
         for batch in batches:
             texts = batch.column(at).to_pylist()
