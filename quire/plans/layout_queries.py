@@ -98,7 +98,8 @@ def caption_claim_once(spark, d):
     return layout.claimed_captions(regions(spark, d), "doc_id")
 
 
-_NOTES = "SELECT *, CASE WHEN word_no % 12 = 11 AND word_no < 60 THEN l + 300 ELSE l END AS l1, CASE WHEN word_no % 12 = 11 AND word_no < 60 THEN r + 300 ELSE r END AS r1 FROM boxes WHERE word_no % 12 IN (0, 1, 2, 11)"
+# All words: the body is drawn together at the left, the last word of the first rows is set off at the right.
+_NOTES = "SELECT *, CASE WHEN word_no % 12 = 11 AND word_no < 60 THEN l + 300 ELSE l / 32 END AS l1, CASE WHEN word_no % 12 = 11 AND word_no < 60 THEN r + 300 ELSE l / 32 + r - l END AS r1 FROM boxes"
 
 
 @query(f"""WITH {BOXES_SQL}, m AS ({_NOTES}), e AS (SELECT doc_id, list_sort(list(r1)) AS rs, list_sort(list(l1)) AS ls, count(*) AS n FROM m GROUP BY doc_id HAVING count(*) >= 8),
@@ -108,14 +109,16 @@ _NOTES = "SELECT *, CASE WHEN word_no % 12 = 11 AND word_no < 60 THEN l + 300 EL
  SELECT doc_id, line_no, word_no, side FROM g WHERE side IS NOT NULL AND n >= 4 AND wide <= 220""")
 def sidenote_geometric(spark, d):
     far = (F.col("word_no") % 12 == 11) & (F.col("word_no") < 60)
-    moved = word_boxes(spark, d).where((F.col("word_no") % 12).isin(0, 1, 2, 11)).select("doc_id", "line_no", "word_no", F.when(far, F.col("l") + 300).otherwise(F.col("l")).alias("l"), "t", F.when(far, F.col("r") + 300).otherwise(F.col("r")).alias("r"), "b")
+    left, right = F.col("l"), F.col("r")
+    moved = word_boxes(spark, d).select("doc_id", "line_no", "word_no", F.when(far, left + 300).otherwise(left / 32).alias("l"), "t", F.when(far, right + 300).otherwise(left / 32 + right - left).alias("r"), "b")
     return layout.margin_words(moved, "doc_id", F.lit(1000.0)).select("doc_id", "line_no", "word_no", "side")
 
 
 @query(f"""WITH {LINE_BOXES_SQL}, n AS (SELECT doc_id, line_no, row, CASE WHEN (l + r) / 2 < 360 THEN 'left' ELSE 'right' END AS side, t FROM line_boxes WHERE n_words <= 2)
  SELECT doc_id, line_no, row, CASE WHEN side = 'left' THEN -1000000 ELSE 2000000 END + row_number() OVER (PARTITION BY doc_id, side ORDER BY t, line_no, row) - 1 AS override FROM n""")
 def sidenote_order(spark, d):
-    notes = line_boxes(spark, d).where("n_words <= 2").withColumn("role", F.lit("sidenote")).withColumn("t", F.struct("t", "line_no", "row"))
+    role = F.when(F.col("n_words") <= 2, "sidenote").otherwise("body")
+    notes = line_boxes(spark, d).withColumn("role", role).withColumn("t", F.struct("t", "line_no", "row"))
     return layout.side_note_order(notes, "doc_id", F.lit(720.0)).select("doc_id", "line_no", "row", F.col("override").cast("long").alias("override"))
 
 
@@ -124,9 +127,9 @@ def typical_word_gap(spark, d):
     return layout.nearest_right_gap(word_boxes(spark, d), "doc_id", LINE_KEYS, F.lit(57.6))
 
 
-@query(f"WITH {LINE_BOXES_SQL}, n AS (SELECT doc_id, line_no, row, b, lead(t) OVER (PARTITION BY doc_id ORDER BY t, l, line_no, row) AS nt FROM line_boxes WHERE n_words >= 2) SELECT doc_id, line_no, row, CASE WHEN nt IS NOT NULL THEN greatest(nt - b, 0) END AS gap FROM n")
+@query(f"WITH {LINE_BOXES_SQL}, n AS (SELECT doc_id, line_no, row, b, lead(t) OVER (PARTITION BY doc_id ORDER BY t, l, line_no, row) AS nt FROM line_boxes) SELECT doc_id, line_no, row, CASE WHEN nt IS NOT NULL THEN greatest(nt - b, 0) END AS gap FROM n")
 def line_vertical_gaps(spark, d):
-    return reading.vertical_gaps(line_boxes(spark, d).where("n_words >= 2"), "doc_id", LINE_KEYS).select("doc_id", *LINE_KEYS, "gap")
+    return reading.vertical_gaps(line_boxes(spark, d), "doc_id", LINE_KEYS).select("doc_id", *LINE_KEYS, "gap")
 
 
 _ROW_BLOCKS = """sp AS (SELECT *, greatest(0, t - lag(b) OVER o) AS space, lag(l) OVER o AS pl, lag(r) OVER o AS pr FROM line_boxes WINDOW o AS (PARTITION BY doc_id ORDER BY t, line_no, row)),

@@ -127,12 +127,12 @@ def page_numbers_consecutive(spark, d):
 
 
 # Style spans over a line's characters, two for each line, and its words as intervals.
-_SPANS = f"""{WORDS_SQL}, toks AS (SELECT doc_id, line_no, word_no, word_no * 10 AS token_start, word_no * 10 + least(length(word), 9) AS token_end FROM words WHERE word_no < 12),
+_SPANS = f"""{WORDS_SQL}, toks AS (SELECT doc_id, line_no, word_no, word_no * 10 AS token_start, word_no * 10 + least(length(word), 9) AS token_end FROM words),
  spans AS (SELECT DISTINCT doc_id, line_no, s.label, s.a + line_no % 7 AS start_, s.b AS end_ FROM words, (VALUES ('italics', 3, 37), ('bold', 30, 64), ('italics', 64, 70)) AS s(label, a, b))"""
 
 
 def _spans(spark, d):
-    tokens = words(spark, d).where("word_no < 12").select(F.struct("doc_id", "line_no").alias("page"), "word_no", (F.col("word_no") * 10).alias("token_start"), (F.col("word_no") * 10 + F.least(F.length("word"), F.lit(9))).alias("token_end"))
+    tokens = words(spark, d).select(F.struct("doc_id", "line_no").alias("page"), "word_no", (F.col("word_no") * 10).alias("token_start"), (F.col("word_no") * 10 + F.least(F.length("word"), F.lit(9))).alias("token_end"))
     fixed = F.array(*[F.struct(F.lit(n).alias("label"), F.lit(a).alias("start"), F.lit(b).alias("end")) for n, a, b in (("italics", 3, 37), ("bold", 30, 64), ("italics", 64, 70))])
     pages = words(spark, d).select(F.struct("doc_id", "line_no").alias("page")).distinct()
     return pages.select("page", F.inline(fixed)).withColumn("start", F.col("start") + F.col("page.line_no") % 7), tokens
@@ -151,7 +151,7 @@ def whole_word_labels(spark, d):
     return contracts.whole_labels(cut, ["page", "word_no"], "n").select("page.doc_id", "page.line_no", "word_no", "label")
 
 
-@query(f"WITH {_SPANS}, pts AS (SELECT DISTINCT doc_id, line_no, word_no * 10 AS at_ FROM words WHERE word_no < 12) SELECT doc_id, line_no, at_ AS \"at\", string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM pts JOIN spans USING (doc_id, line_no) WHERE start_ <= at_ AND at_ < end_ GROUP BY ALL")
+@query(f"WITH {_SPANS}, pts AS (SELECT DISTINCT doc_id, line_no, word_no * 10 AS at_ FROM words) SELECT doc_id, line_no, at_ AS \"at\", string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM pts JOIN spans USING (doc_id, line_no) WHERE start_ <= at_ AND at_ < end_ GROUP BY ALL")
 def labels_at_points(spark, d):
     spans, tokens = _spans(spark, d)
     found = contracts.labels_at(spans, tokens.select("page", F.col("token_start").alias("at")), "page")
@@ -211,18 +211,18 @@ def markup_pages(spark, d):
     return found.select("doc_id", F.size("spans").alias("n_spans"), F.array_join("warnings", ",").alias("warnings"), "trainable", F.md5("visible").alias("visible"))
 
 
-@query(f"WITH {BOXES_SQL} SELECT doc_id, line_no, word_no // 3 AS grp, string_agg(word, '' ORDER BY l, word_no) AS word, min(l) AS l, min(t) AS t, max(r) AS r, max(b) AS b, round(avg(conf), 9) AS conf, min(word_no) AS word_no FROM boxes WHERE line_no < 3 GROUP BY ALL")
+@query(f"WITH {BOXES_SQL} SELECT doc_id, line_no, word_no // 3 AS grp, string_agg(word, '' ORDER BY l, word_no) AS word, min(l) AS l, min(t) AS t, max(r) AS r, max(b) AS b, round(avg(conf), 9) AS conf, min(word_no) AS word_no FROM boxes GROUP BY ALL")
 def merge_words(spark, d):
-    grouped = word_boxes(spark, d).where("line_no < 3").withColumn("grp", F.floor(F.col("word_no") / 3).cast("int"))
+    grouped = word_boxes(spark, d).withColumn("grp", F.floor(F.col("word_no") / 3).cast("int"))
     return edits.merge_words(grouped, ["doc_id", "line_no", "grp"]).withColumn("conf", F.round("conf", 9))
 
 
-@query(f"""WITH {BOXES_SQL}, c AS (SELECT *, CASE WHEN word_no % 2 = 0 THEN 3 END AS at_ FROM boxes WHERE line_no = 0), k AS (SELECT *, coalesce(at_ < length(word), false) AS cut FROM c)
- SELECT doc_id, word_no, 0 AS part, CASE WHEN cut THEN left(word, 3) ELSE word END AS word, l, CASE WHEN cut THEN round(l + (r - l) * 3 / length(word), 6) ELSE r END AS r, CASE WHEN cut THEN NULL ELSE conf END AS conf FROM k
- UNION ALL SELECT doc_id, word_no, 1, substr(word, 4), round(l + (r - l) * 3 / length(word), 6), r, NULL FROM k WHERE cut""")
+@query(f"""WITH {BOXES_SQL}, c AS (SELECT *, CASE WHEN word_no % 2 = 0 THEN 3 END AS at_ FROM boxes), k AS (SELECT *, coalesce(at_ < length(word), false) AS cut FROM c)
+ SELECT doc_id, line_no, word_no, 0 AS part, CASE WHEN cut THEN left(word, 3) ELSE word END AS word, l, CASE WHEN cut THEN round(l + (r - l) * 3 / length(word), 6) ELSE r END AS r, CASE WHEN cut THEN NULL ELSE conf END AS conf FROM k
+ UNION ALL SELECT doc_id, line_no, word_no, 1, substr(word, 4), round(l + (r - l) * 3 / length(word), 6), r, NULL FROM k WHERE cut""")
 def split_words(spark, d):
-    found = edits.split_words(word_boxes(spark, d).where("line_no = 0"), F.when(F.col("word_no") % 2 == 0, 3))
-    return found.select("doc_id", "word_no", "part", "word", F.round("l", 6).alias("l"), F.round("r", 6).alias("r"), "conf")
+    found = edits.split_words(word_boxes(spark, d), F.when(F.col("word_no") % 2 == 0, 3))
+    return found.select("doc_id", "line_no", "word_no", "part", "word", F.round("l", 6).alias("l"), F.round("r", 6).alias("r"), "conf")
 
 
 @query(f"""WITH {WORDS_SQL}, m AS (SELECT doc_id, CASE WHEN line_no IN (1, 3) THEN min(CASE WHEN line_no IN (1, 3) THEN line_no END) OVER (PARTITION BY doc_id) ELSE line_no END AS new_line, line_no, word_no, word FROM words)
@@ -361,11 +361,10 @@ def line_baselines(spark, d):
     return fitted.select("doc_id", "line_no", "row", F.round("slope", 6).alias("slope"), F.round("intercept", 6).alias("intercept"))
 
 
-@query(f"WITH {WORDS_SQL} SELECT doc_id, line_no, word_no, contains(word, 's') AND length(word) > 2 AS fits FROM words WHERE line_no = 0")
+@query(f"WITH {WORDS_SQL} SELECT doc_id, line_no, word_no, contains(word, 's') AND length(word) > 2 AS fits FROM words")
 def glyph_annotations_fit(spark, d):
     ligature = F.array(F.struct(F.lit(0).alias("start"), F.lit(3).alias("end")))
-    found = words(spark, d).where("line_no = 0")
-    return found.select("doc_id", "line_no", "word_no", contracts.glyphs_fit(F.col("word"), ligature, F.array(F.instr("word", "s") - 1)).alias("fits"))
+    return words(spark, d).select("doc_id", "line_no", "word_no", contracts.glyphs_fit(F.col("word"), ligature, F.array(F.instr("word", "s") - 1)).alias("fits"))
 
 
 @query("""SELECT p.page_id, length(d.text) AS n_chars FROM pages p LEFT JOIN (SELECT sha256(text) AS h, any_value(text) AS text FROM documents GROUP BY 1) d ON d.h = (SELECT sha256(text) FROM documents WHERE doc_id = p.page_id) WHERE p.page_id % 2 = 0
