@@ -11,7 +11,9 @@ import heapq
 import json
 import unicodedata
 from dataclasses import asdict, dataclass
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame, Window
@@ -102,6 +104,12 @@ def fresh(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(c).alias(c) for c in df.columns])
 
 
+def by_page(df: DataFrame, page: str) -> DataFrame:
+    """df dealt by page into the session's number of shuffle partitions: what is done with a page costs far more than its
+    bytes tell, so partitions must not be merged for being small."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), page)
+
+
 def ordered(rows: pd.DataFrame, by: str, value: str) -> list:
     """A column in the order of another; a missing side of a cogroup has no columns."""
     return list(rows.sort_values(by)[value]) if len(rows) else []
@@ -116,7 +124,7 @@ def diff_lines(found: DataFrame, reference: DataFrame, page: str, line: str = "l
         ops = difflib.SequenceMatcher(None, x, y).get_opcodes()
         return pd.DataFrame([(key[0], i, *op) for i, op in enumerate(ops)], columns=[page, "pos", "op", "a0", "a1", "b0", "b1"])
 
-    return found.groupBy(page).cogroup(fresh(reference).groupBy(page)).applyInPandas(script, f"`{page}` {page_type}, pos int, op string, a0 int, a1 int, b0 int, b1 int")
+    return by_page(found, page).groupBy(page).cogroup(by_page(fresh(reference), page).groupBy(page)).applyInPandas(script, f"`{page}` {page_type}, pos int, op string, a0 int, a1 int, b0 int, b1 int")
 
 
 def match_lines(found: DataFrame, reference: DataFrame, page: str, line: str = "line_no", text: str = "text") -> DataFrame:
@@ -152,7 +160,7 @@ def match_lines(found: DataFrame, reference: DataFrame, page: str, line: str = "
         greedy(sorted(free_x), sorted(free_y), RECOVER_SCORE, "displaced")
         return pd.DataFrame(out, columns=[page, line, f"reference_{line}", "score", "how"])
 
-    return found.groupBy(page).cogroup(fresh(reference).groupBy(page)).applyInPandas(pair, f"`{page}` {page_type}, {line} int, reference_{line} int, score int, how string")
+    return by_page(found, page).groupBy(page).cogroup(by_page(fresh(reference), page).groupBy(page)).applyInPandas(pair, f"`{page}` {page_type}, {line} int, reference_{line} int, score int, how string")
 
 
 def displaced_words(found: list[str], truth: list[str]) -> list[tuple[str, int | None, int | None]]:
@@ -184,7 +192,7 @@ def comparison(text: str) -> list[str]:
     return [unicodedata.normalize("NFC", g).casefold() for g in GRAPHEME.findall(text)]
 
 
-def edit_cost(a: list[str], b: list[str], policy: Policy) -> float:
+def edit_cost(a: tuple[str, ...], b: tuple[str, ...], policy: Policy) -> float:
     row = [j * policy.target_only for j in range(len(b) + 1)]
     for i, x in enumerate(a, 1):
         last, row[0] = row[0], i * policy.source_only
@@ -193,9 +201,32 @@ def edit_cost(a: list[str], b: list[str], policy: Policy) -> float:
     return row[-1]
 
 
+@lru_cache(1 << 16)
+def unit_cost(a: tuple[str, ...], b: tuple[str, ...]) -> int:
+    """edit_cost() where a match is free and all else costs 1: a column of differences in the bits of two integers."""
+    if not a or not b:
+        return len(a) + len(b)
+    masks: dict[str, int] = {}
+    for i, x in enumerate(a):
+        masks[x] = masks.get(x, 0) | 1 << i
+    full, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    up, down, cost = full, 0, len(a)
+    for y in b:
+        same = masks.get(y, 0)
+        level = (((same & up) + up) ^ up) | same
+        more, less = (down | ~(level | up)) & full, up & level
+        cost += bool(more & top) - bool(less & top)
+        more, less = more << 1 | 1, less << 1
+        up, down = (less | ~(same | down | more)) & full, more & (same | down) & full
+    return cost
+
+
 def align(source: list[str], target: list[str], policy: Policy) -> dict:
     """The two cheapest monotonic alignments of two token sequences by one-to-one, one-to-many, many-to-one, source-only
-    and target-only relations; accepted if nothing was cut short and the margin between the two is large enough."""
+    and target-only relations; accepted if nothing was cut short and the margin between the two is large enough.
+
+    Only cells on ways within a bound are looked at: what is left of both sides costs at least what its graphemes differ by.
+    The bound grows until two ways end within it, so that no way beyond it can be among the two."""
     a, b = [comparison(x) for x in source], [comparison(x) for x in target]
     n, m = len(a), len(b)
     reasons: list[str] = []
@@ -203,36 +234,76 @@ def align(source: list[str], target: list[str], policy: Policy) -> dict:
         reasons.append("state_limit_exhausted")
     if max((len(x) for x in a), default=0) * policy.max_merge * max((len(y) for y in b), default=0) > policy.max_cells:
         reasons.append("grapheme_state_limit_exhausted")
+    most = sum(map(len, a)) * policy.source_only + sum(map(len, b)) * policy.target_only
     if reasons:
         best = [("source_only", i, i + 1, 0, 0) for i in range(n)] + [("target_only", n, n, j, j + 1) for j in range(m)]
-        cost = sum(map(len, a)) * policy.source_only + sum(map(len, b)) * policy.target_only
-        return {"cost": cost, "margin": None, "accepted": False, "reasons": reasons, "best": best, "second": []}
-    cells: list[list[list]] = [[[] for _ in range(m + 1)] for _ in range(n + 1)]
-    cells[0][0] = [(0.0, ())]
-    for i in range(n + 1):
-        for j in range(m + 1):
-            here = heapq.nsmallest(2, cells[i][j], key=lambda p: (p[0], json.dumps(p[1])))
-            cells[i][j] = here
-            moves = []
-            if i < n and j < m:
-                moves.append(("one_to_one", i + 1, j + 1))
-                moves += [("source_to_fragments", i + 1, j + k) for k in range(2, min(policy.max_merge, m - j) + 1)]
-                moves += [("sources_to_one", i + k, j + 1) for k in range(2, min(policy.max_merge, n - i) + 1)]
-            if i < n:
-                moves.append(("source_only", i + 1, j))
-            if j < m:
-                moves.append(("target_only", i, j + 1))
-            for kind, x, y in moves:
-                cost = edit_cost([g for t in a[i:x] for g in t], [g for t in b[j:y] for g in t], policy)
-                for total, path in here:
-                    cells[x][y].append((total + cost, (*path, (kind, i, x, j, y))))
-    done = cells[n][m]
+        return {"cost": most, "margin": None, "accepted": False, "reasons": reasons, "best": best, "second": []}
+    least = _least_left(a, b, policy)
+    slack = 4.0 + 0.3 * least[0][0]
+    while True:
+        bound = least[0][0] + slack if least[0][0] + slack < most else float("inf")
+        done = _ways(a, b, policy, least, bound)
+        if len(done) > 1 or bound == float("inf"):
+            break
+        slack *= 2
     margin = done[1][0] - done[0][0] if len(done) > 1 else None
     if margin == 0:
         reasons.append("tie")
     if margin is not None and margin < policy.low_margin:
         reasons.append("low_margin")
-    return {"cost": done[0][0], "margin": margin, "accepted": not reasons, "reasons": reasons, "best": list(done[0][1]), "second": list(done[1][1]) if len(done) > 1 else []}
+    best, second = ([tuple(x) for x in json.loads(f"[{way}]")] for _, way in (*done, (0.0, ""))[:2])
+    return {"cost": done[0][0], "margin": margin, "accepted": not reasons, "reasons": reasons, "best": best, "second": second}
+
+
+def _least_left(a: list[list[str]], b: list[list[str]], policy: Policy) -> list[list[float]]:
+    """The least cost of what is left from cell (i, j) on, by how often each grapheme is left on both sides."""
+    kinds = {g: k for k, g in enumerate(sorted({g for t in (*a, *b) for g in t}))}
+
+    def left(x: list[list[str]]) -> np.ndarray:
+        counts = np.zeros((len(x) + 1, len(kinds) + 1), dtype=np.int32)
+        for i, t in enumerate(x):
+            for g in t:
+                counts[i, kinds[g]] += 1
+        return counts[::-1].cumsum(axis=0)[::-1]
+
+    more = left(a)[:, None, :] - left(b)[None, :, :]
+    source, target = np.maximum(more, 0).sum(axis=2), np.maximum(-more, 0).sum(axis=2)
+    pairs = np.minimum(source, target) * min(policy.substitute, policy.source_only + policy.target_only)
+    return (pairs + np.maximum(source - target, 0) * policy.source_only + np.maximum(target - source, 0) * policy.target_only).tolist()
+
+
+def _ways(a: list[list[str]], b: list[list[str]], policy: Policy, least: list[list[float]], bound: float) -> list[tuple[float, str]]:
+    """(cost, relations as JSON items) of the two best ways that cost no more than bound, ties in the order of the JSON."""
+    n, m = len(a), len(b)
+    unit = (policy.match, policy.substitute, policy.source_only, policy.target_only) == (0.0, 1.0, 1.0, 1.0)
+    joined = lambda x: [[tuple(g for t in x[i : i + k] for g in t) for k in range(policy.max_merge + 1)] for i in range(len(x) + 1)]
+    from_a, from_b = joined(a), joined(b)
+    steps = [("one_to_one", 1, 1), *(("source_to_fragments", 1, k) for k in range(2, policy.max_merge + 1)), *(("sources_to_one", k, 1) for k in range(2, policy.max_merge + 1)), ("source_only", 1, 0), ("target_only", 0, 1)]
+    rows: list[dict[int, list[tuple[float, str]]]] = [{} for _ in range(n + 1)]
+    rows[0][0] = [(0.0, "")]
+    for i in range(n + 1):
+        row, rows[i] = rows[i], {}
+        for j in range(m + 1):
+            if j not in row:
+                continue
+            here = heapq.nsmallest(2, row[j])
+            if (i, j) == (n, m):
+                return here
+            for kind, p, q in steps:
+                x, y = i + p, j + q
+                if x > n or y > m:
+                    continue
+                s, t = from_a[i][p], from_b[j][q]
+                room = bound - least[x][y] - here[0][0] + 1e-9
+                if room < (len(s) - len(t)) * policy.source_only or room < (len(t) - len(s)) * policy.target_only:
+                    continue
+                cost = float(unit_cost(s, t)) if unit else edit_cost(s, t, policy)
+                if cost > room:
+                    continue
+                item = f'["{kind}", {i}, {x}, {j}, {y}]'
+                cell = (row if x == i else rows[x]).setdefault(y, [])
+                cell += [(total + cost, f"{way}, {item}" if way else item) for total, way in here if total + cost + least[x][y] <= bound + 1e-9]
+    return []
 
 
 RELATION = "array<struct<kind:string,s0:int,s1:int,t0:int,t1:int>>"
@@ -248,7 +319,7 @@ def match_documents(source: DataFrame, target: DataFrame, doc: str, pos: str = "
         return pd.DataFrame([{doc: key[0], **found, "best": shape(found["best"]), "second": shape(found["second"])}])
 
     schema = f"`{doc}` {doc_type}, cost double, margin double, accepted boolean, reasons array<string>, best {RELATION}, second {RELATION}"
-    return source.groupBy(doc).cogroup(fresh(target).groupBy(doc)).applyInPandas(run, schema)
+    return by_page(source, doc).groupBy(doc).cogroup(by_page(fresh(target), doc).groupBy(doc)).applyInPandas(run, schema)
 
 
 def project_spans(spans: DataFrame, tokens: DataFrame, page: str) -> DataFrame:

@@ -57,12 +57,17 @@ def truth_match_lines(spark, d):
     return matching.match_lines(*_pair(spark, d), "doc_id")
 
 
+def _line_tokens(spark, d):
+    """Words of every line, a line of a document (doc_id:line_no) being what is aligned."""
+    return words(spark, d).select(F.concat_ws(":", "doc_id", "line_no").alias("line"), F.col("word_no").alias("pos"), F.col("word").alias("text"))
+
+
 @query()
 def match_documents(spark, d):
-    source = words(spark, d).where("line_no = 0 and word_no < 8").select("doc_id", F.col("word_no").alias("pos"), F.col("word").alias("text"))
+    source = _line_tokens(spark, d)
     target = source.where("pos % 5 <> 3").withColumn("text", F.when(F.col("pos") % 4 == 1, F.concat("text", F.lit("e"))).otherwise(F.upper("text")))
-    found = matching.match_documents(source, target, "doc_id")
-    return found.select("doc_id", "cost", "margin", "accepted", F.array_join("reasons", ",").alias("reasons"), F.to_json("best").alias("best"))
+    found = matching.match_documents(source, target, "line")
+    return found.select("line", "cost", "margin", "accepted", F.array_join("reasons", ",").alias("reasons"), F.to_json("best").alias("best"))
 
 
 # Proof tokens of two rounds: a line's last word may carry a star after a hyphen, the next line's first word one in front.
@@ -103,7 +108,7 @@ def continuation_markers(spark, d):
     return found.select("doc_id", "round", F.col("token_index").cast("long").alias("token_index"), "place", "left", "right", "boundary", F.when(F.col("candidates").isNotNull(), F.array_join("candidates", "|")).alias("candidates"), "decision", "reason")
 
 
-@query(f"""WITH {_EDGES}, ok AS (SELECT * FROM edges WHERE reason IS NULL) SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, coalesce(a.token_index, b.token_index) AS token_index, a.lt AS first_left, a.rt AS first_right, b.lt AS second_left, b.rt AS second_right,
+@query(f"""WITH {_EDGES}, ok AS MATERIALIZED (SELECT * FROM edges WHERE reason IS NULL) SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, coalesce(a.token_index, b.token_index) AS token_index, a.lt AS first_left, a.rt AS first_right, b.lt AS second_left, b.rt AS second_right,
  CASE WHEN b.lt IS NULL THEN 'first_only' WHEN a.lt IS NULL THEN 'second_only' WHEN a.lt = b.lt AND a.rt = b.rt THEN 'agreed' ELSE 'conflict' END AS status FROM (SELECT * FROM ok WHERE round = 1 AND token_index % 9 <> 4) a FULL OUTER JOIN (SELECT * FROM ok WHERE round = 2) b ON a.doc_id = b.doc_id AND a.token_index = b.token_index""")
 def continuation_reconcile(spark, d):
     found = continuations.edges(_proof_tokens(spark, d), "doc_id")
@@ -337,10 +342,10 @@ def comparison_views(spark, d):
 
 @query()
 def truth_projected(spark, d):
-    source = words(spark, d).where("line_no = 0 and word_no < 6").select("doc_id", F.col("word_no").alias("pos"), F.col("word").alias("text"))
-    target = source.where("pos <> 3").withColumn("text", F.upper("text"))
-    matched = matching.match_documents(source, target, "doc_id")
-    return matching.project_relations(source, matched, target, "doc_id")
+    source = _line_tokens(spark, d)
+    target = source.where("pos % 7 <> 3").withColumn("text", F.upper("text"))
+    matched = matching.match_documents(source, target, "line")
+    return matching.project_relations(source, matched, target, "line")
 
 
 @query()
