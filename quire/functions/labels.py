@@ -62,3 +62,29 @@ def uuid5(namespace: uuid.UUID, name: Column) -> Column:
     digest = F.sha1(F.concat(F.unhex(F.lit(namespace.hex)), F.encode(name, "UTF-8")))
     variant = F.lower(F.hex(F.conv(F.substring(digest, 17, 1), 16, 10).cast("int").bitwiseAND(3).bitwiseOR(8)))
     return F.concat(F.substring(digest, 1, 8), F.lit("-"), F.substring(digest, 9, 4), F.lit("-5"), F.substring(digest, 14, 3), F.lit("-"), variant, F.substring(digest, 18, 3), F.lit("-"), F.substring(digest, 21, 12))
+
+
+#: Names of ligatures in old files that are not the present name in lower case.
+OLD_LIGATURES = {"long_s_t": "LONG_ST", "LONG_S_T": "LONG_ST"}
+#: The present names that old files hold in lower case.
+LIGATURES = ("FI", "FL", "FF", "FFI", "FFL", "CT", "ST", "LONG_S_S", "LONG_S_I", "SP", "QU")
+
+
+def ligature_kind(raw: Column) -> Column:
+    """The present name of a kind of ligature; others stay as they are."""
+    return F.coalesce(lookup(OLD_LIGATURES | {x.lower(): x for x in LIGATURES})[raw], raw)
+
+
+def letter_spaced(graphemes: Column, start: Column, end: Column) -> Column:
+    """graphemes[start:end] without its spaces if visible graphemes and single spaces take turns in it, three or more in
+    all, beginning and ending with a visible one; else null."""
+    region = F.slice(graphemes, start + 1, F.greatest(end - start, F.lit(0)))
+    turns = F.aggregate(F.transform(region, lambda x, i: (i % 2 == 1) == (x == " ")), F.lit(True), lambda a, x: a & x)
+    inside = (start >= 0) & (start < end) & (end <= F.size(graphemes))
+    return F.when(inside & (F.size(region) >= 3) & (F.size(region) % 2 == 1) & turns, F.array_remove(region, " "))
+
+
+def small_caps_ranges(spans: Column, length: Column) -> Column:
+    """(start, end) of the spans (label, state, start, end) that are known small capitals, inside the text."""
+    known = F.filter(spans, lambda x: (x["label"] == "small_caps") & (x["state"] == "positive") & (x["end"] <= length))
+    return F.transform(known, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))

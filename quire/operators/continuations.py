@@ -10,6 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: What tells where an edge's two fragments stand.
+LOCUS = ("page_id", "line_id")
+
+
 def page_number(page_id: Column) -> Column:
     """The last run of digits of a page id, or null."""
     return F.nullif(F.regexp_extract(page_id, r"(\d+)\D*$", 1), F.lit("")).cast("bigint")
@@ -61,9 +65,17 @@ def edges(tokens: DataFrame, doc: str, keys: tuple[str, ...] = ("round",)) -> Da
         .when(F.col("boundary").isNull(), "nonadjacent_markers")
         .when((F.col("right") == "") | (F.col("left") == ""), "empty_fragment")
     )
+    is_place = lambda name: F.col("place") == name
+    locus = [F.when(is_place("leading"), gone[c]).otherwise(own[c]).alias(f"left_{c}") for c in LOCUS] + [F.when(is_place("trailing"), coming[c]).otherwise(own[c]).alias(f"right_{c}") for c in LOCUS]
     found = marked.withColumn("reason", reason)
     ok = F.col("reason").isNull()
-    return found.select(doc, *keys, "token_index", "place", "marker", F.when(ok, F.col("left")).alias("left"), F.when(ok, F.col("right")).alias("right"), F.when(ok, F.col("boundary")).alias("boundary"), F.when(ok, candidates(F.col("left"), F.col("right"))).alias("candidates"), F.when(ok, decision(F.col("left"))).alias("decision"), "reason")
+    return found.select(doc, *keys, "token_index", "place", "marker", F.when(ok, F.col("left")).alias("left"), F.when(ok, F.col("right")).alias("right"), F.when(ok, F.col("boundary")).alias("boundary"), F.when(ok, candidates(F.col("left"), F.col("right"))).alias("candidates"), F.when(ok, decision(F.col("left"))).alias("decision"), "reason", *locus)
+
+
+def ordinals(found: DataFrame, doc: str, keys: tuple[str, ...] = ("round",)) -> DataFrame:
+    """Edges with ordinal, their number from 0 among those between the same two lines over the same kind of boundary."""
+    between = Window.partitionBy(doc, *keys, "boundary", *[f"{side}_{c}" for side in ("left", "right") for c in LOCUS])
+    return found.where("reason is null").withColumn("ordinal", F.row_number().over(between.orderBy("token_index")) - 1)
 
 
 def reconcile(first: DataFrame, second: DataFrame, anchor: list[str]) -> DataFrame:

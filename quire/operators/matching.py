@@ -20,7 +20,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 GRAPHEME = regex.compile(r"\X")
-# The least scores of line pairs.
+# Dashes and closing marks at a line's end, the least scores of line pairs.
+DASHES, CLOSING = "-–—‒⸺⸻", r"""[.,;:!?)\]}"']+$"""
 PAIR_SCORE, PAIR_MIN, PAIR_MEAN, RECOVER_SCORE = 70, 50, 70, 90
 
 
@@ -329,6 +330,23 @@ def project_spans(spans: DataFrame, tokens: DataFrame, page: str) -> DataFrame:
 
 
 
+def soft_wrap(found: Column, truth: Column) -> Column:
+    """Whether a line's last word may be the start of its reference's last word, cut at the line's end without a hyphen:
+    two letters or more, closing marks aside, and shorter than the other."""
+    last = lambda c: F.regexp_extract(c, r"(\S+)\s*$", 1)
+    core = lambda c: F.lower(F.regexp_replace(last(c), CLOSING, ""))
+    longer = F.length(core(truth)) > F.length(core(found))
+    return F.coalesce(~last(found).rlike(f"[{DASHES}]$") & (F.length(core(found)) >= 2) & longer & F.startswith(core(truth), core(found)), F.lit(False))
+
+
+def truth_of_found(words: DataFrame, page: str, line: str = "line_no", pos: str = "word_no", text: str = "word", truth: str = "truth") -> DataFrame:
+    """(page, truth): the reference words of the words that have a text, spaces between words, line ends between lines."""
+    kept = words.where((F.col(text) != "") & (F.col(truth) != "")).groupBy(page, line).agg(F.sort_array(F.collect_list(F.struct(pos, truth))).alias("_w"))
+    joined = kept.select(page, line, F.array_join(F.transform("_w", lambda x: x[truth]), " ").alias("_line"))
+    ordered_lines = F.sort_array(F.collect_list(F.struct(line, "_line")))
+    return joined.groupBy(page).agg(F.array_join(F.transform(ordered_lines, lambda x: x["_line"]), "\n").alias(truth))
+
+
 def hyphen_variants(previous: str, line: str, longest: int = 12) -> list[str]:
     """What a line may read as if a word was cut at its start or end: with the tail of the line before, or without its own
     last letters, with and without a hyphen or dash."""

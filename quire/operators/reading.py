@@ -12,6 +12,11 @@ from pyspark.sql import functions as F
 from quire.functions.geometry import Box, domain, interval_overlap
 
 ORDER = ["t", "l"]
+# When spacing counts as even, which left edges are the body's, the indent of pages that show none, and the
+# marks that may stand at a word's end.
+EVEN_LEAST, EVEN_SHARE = 1.0, 0.65
+LEFT_SHARE, LEFT_SLACK, USUAL_INDENT = 0.30, 0.02, 0.03
+CLOSING = r"""[.,;:!?'"\-)]+$"""
 
 
 def page_metrics(words: DataFrame, page: str, width: Column | None = None, height: Column | None = None) -> DataFrame:
@@ -32,6 +37,43 @@ def vertical_gaps(lines: DataFrame, page: str, keys: list[str]) -> DataFrame:
     return lines.withColumn("gap", F.when(below.isNotNull(), F.greatest(below - F.col("b"), F.lit(0.0))))
 
 
+def gaps_consistent(lines: DataFrame, page: str, keys: list[str]) -> DataFrame:
+    """(page, n_gaps, median_gap, spread, consistent): whether a page's lines are evenly spaced, of pages with a gap; one
+    gap alone tells nothing."""
+    found = vertical_gaps(lines, page, keys).where("gap is not null").groupBy(page).agg(F.count("*").alias("n_gaps"), F.median("gap").alias("median_gap"), F.stddev_pop("gap").alias("spread"))
+    even = F.col("spread") <= F.greatest(F.lit(EVEN_LEAST), EVEN_SHARE * F.greatest("median_gap", F.lit(1.0)))
+    return found.withColumn("consistent", (F.col("n_gaps") >= 2) & even)
+
+
+def uncovered_blocks(members: DataFrame, page: str, block: str, word: list[str]) -> DataFrame:
+    """(page, block) of blocks that hold a word which no earlier block holds, from a row per block and word."""
+    first = members.groupBy(page, *word).agg(F.min(block).alias(block))
+    return first.select(page, block).distinct()
+
+
+def indent_signature(lines: DataFrame, page: str, paragraph: str, keys: list[str]) -> DataFrame:
+    """(page, body_left, standard_indent) of lines in units of the page's width: the middle of the leftmost third of the
+    left edges, and the middle indent of first lines of paragraphs whose other lines keep to that edge."""
+    middle = lambda values: F.element_at(values, (F.floor(F.size(values) / 2) + 1).cast("int"))
+    lefts = lines.groupBy(page).agg(F.sort_array(F.collect_list("l")).alias("_all"))
+    edge = F.slice("_all", F.lit(1), F.greatest(F.lit(1), F.floor(F.size("_all") * LEFT_SHARE).cast("int")))
+    lefts = lefts.select(page, middle(edge).alias("body_left"))
+    rows = lines.groupBy(page, paragraph).agg(F.min(F.struct(*keys, "l")).alias("_first"), F.collect_list(F.struct(*keys, "l")).alias("_lines"))
+    rest = F.sort_array(F.transform(F.filter("_lines", lambda x: x != F.col("_first")), lambda x: x["l"]))
+    rows = rows.select(page, F.col("_first.l").alias("_l"), rest.alias("_rest")).where(F.size("_rest") > 0).join(lefts, page)
+    keeps = (F.abs(middle(F.col("_rest")) - F.col("body_left")) <= LEFT_SLACK) & (F.col("_l") > middle(F.col("_rest")))
+    indents = rows.where(keeps).groupBy(page).agg(F.sort_array(F.collect_list(F.col("_l") - middle(F.col("_rest")))).alias("_indents"))
+    return lefts.join(indents, page, "left").select(page, "body_left", F.coalesce(middle(F.col("_indents")), F.lit(USUAL_INDENT)).alias("standard_indent"))
+
+
+def cap_letters(words: DataFrame, lexicon: DataFrame, word: str = "word") -> DataFrame:
+    """words with cap, the one capital that makes a word of the lexicon (column word) when set before; null if none or
+    several do.  Both sides meet by the rest of the word, so no word is tried against all letters."""
+    known = lexicon.select(F.upper("word").alias("_word")).distinct().where(F.col("_word").rlike("^[A-Z]."))
+    known = known.groupBy(F.expr("substring(_word, 2)").alias("_rest")).agg(F.count("*").alias("_n"), F.min(F.left("_word", F.lit(1))).alias("cap")).where("_n = 1").drop("_n")
+    return words.withColumn("_rest", F.regexp_replace(F.upper(F.trim(word)), CLOSING, "")).join(known, "_rest", "left").drop("_rest")
+
+
 def row_blocks(lines: DataFrame, page: str, keys: list[str]) -> DataFrame:
     """lines with block, from 0: a new one where the space above is large for the page, unless the two lines are side
     by side."""
