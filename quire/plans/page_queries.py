@@ -92,6 +92,21 @@ def ligature_kinds(spark, d):
     return table(spark, d, "documents").select("doc_id", labels.ligature_kind(raw).alias("kind"))
 
 
+# The second row of the second line of text is a caption; on some pages the rows below it are raised, cut to half, or both.
+@query(f"""WITH {LINE_BOXES_SQL}, x AS (SELECT doc_id, line_no, row, l, CASE WHEN line_no = 1 AND row >= 2 AND doc_id % 2 = 0 THEN t - 6 ELSE t END AS t, CASE WHEN line_no = 1 AND row >= 2 AND doc_id % 2 = 0 THEN b - 6 ELSE b END AS b,
+ CASE WHEN line_no = 1 AND (row = 2 AND doc_id % 3 > 0 OR row IN (3, 4) AND doc_id % 3 = 1) THEN l + (r - l) / 2 ELSE r END AS r, line_no = 1 AND row = 1 AS seed FROM line_boxes),
+ s AS (SELECT doc_id, median(l) FILTER (seed) AS sx, min(t) FILTER (seed) AS y0, max(b) FILTER (seed) AS y1, avg(b - t) FILTER (seed) AS h, median(r - l) AS usual FROM x GROUP BY doc_id), f AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY t, l, line_no, row) AS k FROM x WHERE NOT seed),
+ c AS (SELECT f.* FROM f JOIN s USING (doc_id) WHERE sx IS NOT NULL AND (t + b) / 2 BETWEEN y0 - 0.3 * h AND y1 + 0.9 * h AND abs(l - sx) <= 0.3 * 720 AND r - l <= 0.82 * usual)
+ SELECT doc_id, line_no, row FROM c WHERE (SELECT count(*) FROM f WHERE f.doc_id = c.doc_id AND f.k > c.k AND f.t - c.b <= 3.0 * greatest(c.b - c.t, 1) AND abs(f.l - c.l) <= 0.04 * 720 AND abs(f.r - c.r) <= 0.07 * 720) < 2""")
+def caption_tails(spark, d):
+    line, row, doc = F.col("line_no"), F.col("row"), F.col("doc_id")
+    raised = F.when((line == 1) & (row >= 2) & (doc % 2 == 0), 6.0).otherwise(0.0)
+    halved = (line == 1) & (((row == 2) & (doc % 3 > 0)) | (row.isin(3, 4) & (doc % 3 == 1)))
+    right = F.when(halved, F.col("l") + (F.col("r") - F.col("l")) / 2).otherwise(F.col("r"))
+    found = line_boxes(spark, d).select("doc_id", *LINE_KEYS, "l", (F.col("t") - raised).alias("t"), right.alias("r"), (F.col("b") - raised).alias("b"))
+    return layout.caption_tails(found, "doc_id", LINE_KEYS, (line == 1) & (row == 1), F.lit(720.0)).select("doc_id", *LINE_KEYS)
+
+
 # Twins of queries of other modules, from those of their steps.
 ORACLE_SQL["reading_order_pipeline"] = f"""WITH {LINE_BOXES_SQL}, {_ROW_BLOCKS}, bands AS ({ORACLE_SQL["header_footer_bands"]}), roles AS ({ORACLE_SQL["classify_blocks"]})
  SELECT doc_id, line_no, row, band, block, role, row_number() OVER (PARTITION BY doc_id ORDER BY CASE band WHEN 'header' THEN 0 WHEN 'body' THEN 1 ELSE 2 END, block, t, l, line_no, row) - 1 AS place FROM blocks JOIN bands USING (doc_id, line_no, row) JOIN roles USING (doc_id, block)"""

@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from quire.functions import labels
-from quire.operators import continuations, matching, reading
+from quire.operators import continuations, layout, matching, reading
 
 
 def test_even_gaps_and_lone_gaps(spark):
@@ -60,3 +60,13 @@ def test_letter_spaces_small_caps_and_ligatures(spark):
     assert [tuple(x) for x in spans.select(labels.small_caps_ranges(F.col("s"), F.lit(5)).alias("r")).first().r] == [(1, 3)]
     kinds = spark.createDataFrame([(x,) for x in ("fi", "FI", "long_s_t", "LONG_S_T", "mystery")], "k string")
     assert [x[0] for x in kinds.select(labels.ligature_kind(F.col("k"))).collect()] == ["FI", "FI", "LONG_ST", "LONG_ST", "mystery"]
+
+
+def test_tails_of_captions(spark):
+    wide = [(1, i, 0.0, 200.0 + 20 * i, 500.0, 210.0 + 20 * i) for i in range(10, 20)]
+    page = [(1, 0, 50.0, 100.0, 450.0, 110.0), (1, 1, 60.0, 112.0, 200.0, 122.0), *wide]
+    going_on = [(2, 0, 50.0, 100.0, 450.0, 110.0), (2, 1, 60.0, 112.0, 200.0, 122.0), (2, 2, 60.0, 124.0, 200.0, 134.0), (2, 3, 60.0, 136.0, 200.0, 146.0), *[(2, *x[1:]) for x in wide]]
+    without = [(3, 1, 60.0, 112.0, 200.0, 122.0)]
+    df = spark.createDataFrame(page + going_on + without, "page int, line_no int, l double, t double, r double, b double")
+    got = layout.caption_tails(df, "page", ["line_no"], F.col("line_no") == 0, F.lit(1000.0)).select("page", "line_no").collect()
+    assert [tuple(x) for x in got] == [(1, 1)]
