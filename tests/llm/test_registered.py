@@ -17,11 +17,11 @@ def documents():
 
 
 def test_names():
-    assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 14)]
     assert {*QUERIES, "pipeline"} <= set(__spark_entry__.queries())
 
 
-@pytest.mark.parametrize("name", [n for n in QUERIES if n.split("_")[0] not in ("op2", "op3", "op5", "op9")])
+@pytest.mark.parametrize("name", [n for n in QUERIES if n.split("_")[0] not in ("op2", "op3", "op5", "op9", "op13")])
 def test_one_row_for_each_document(spark, documents, name):
     found = QUERIES[name](spark, DIR)
     got = found.collect()
@@ -51,3 +51,13 @@ def test_shards_are_near_equal(spark, documents):
         load[r.shard] += r["size"]
         assert r["size"] == len(documents[r.doc_id][1].encode()) + 1
     assert max(load) - min(load) <= 0.02 * sum(load) / 8
+
+
+def test_trie_equals_its_twin(spark):
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW conversations AS SELECT * FROM '{DIR}/conversations.parquet'")
+    got = QUERIES["op13_conversation_trie"](spark, DIR)
+    want = c.sql(ORACLE_SQL["op13_conversation_trie"])
+    assert set(dict(got.dtypes).values()) == {"bigint", "string"}
+    key = lambda r: (r[0], r[1])
+    assert sorted((tuple(r[k] for k in want.columns) for r in got.collect()), key=key) == sorted(want.fetchall(), key=key)
