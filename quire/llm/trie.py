@@ -104,6 +104,8 @@ def refine(turns: DataFrame, conversations: DataFrame) -> tuple[DataFrame, DataF
         members = rows.select("conv_id", "n", F.posexplode(chain).alias("at", "x")).select("conv_id", "n", (F.col("at") + first).cast("long").alias("depth"), "x.node", "x.chars")
         members = materialize(members, "members")
         classes = members.groupBy("depth", "node").agg(F.count("*").alias("n_convs"), F.min("conv_id").alias("rep"), F.count_if(F.col("depth") == F.col("n")).alias("ends")).where("n_convs > 1")
+        # written, so that both sides of the join are plain shuffles and a hot class's members can be split
+        classes = materialize(classes, "classes")
         found = materialize(members.join(classes, ["depth", "node"]), "shared")
         last = found.groupBy("conv_id").agg(F.max_by(F.struct("depth", "node", "rep"), "depth").alias("last"))
         stand = active.join(last, "conv_id", "left").select("conv_id", "n", *[F.coalesce(f"last.{c}", c).alias(c) for c in ("node", "rep", "depth")])
