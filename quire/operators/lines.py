@@ -99,6 +99,7 @@ def rejoin(lines: DataFrame, page: str, line: str = "line_no") -> DataFrame:
 
 
 def _joins(a: list[float], b: list[float], limit: float) -> bool:
+    # fixed values: shares of height and width that fragments may and may not share (0.2, 0.1, 0.5)
     ha, hb = a[3] - a[1], b[3] - b[1]
     shared_y, shared_x = min(a[3], b[3]) - max(a[1], b[1]), min(a[2], b[2]) - max(a[0], b[0])
     if max(0, shared_y) < 0.2 * (ha + hb) or max(0, shared_x) > 0.1 * (a[2] - a[0]) or abs(ha - hb) > 0.5 * ha:
@@ -143,6 +144,7 @@ def grown_blocks(words: DataFrame, page: str, keys: list[str], reach_x: float, r
 def floated(lines: DataFrame, page: str, keys: list[str], width: Column) -> DataFrame:
     """lines with flow: of pages with eight lines or more, those in two clusters of narrow lines far enough apart are 'left'
     and 'right', lines above and below the right cluster's band 'pre' and 'post', the rest 'body'."""
+    # fixed values: what is narrow for the page, steps and spreads of clusters, and how far apart they are (0.86, 0.12, 0.09, 0.14)
     whole = Window.partitionBy(page)
     wide = F.col("r") - F.col("l")
     found = lines.withColumn("_n", F.count("*").over(whole)).withColumn("_narrow", wide <= 0.86 * F.median(wide).over(whole)).withColumn("_w", width)

@@ -89,6 +89,7 @@ def row_blocks(lines: DataFrame, page: str, keys: list[str]) -> DataFrame:
 
 def bands(lines: DataFrame, metrics: DataFrame, page: str, keys: list[str], band: float = 1.5, near: float = 0.12, gap: float = 0.7) -> DataFrame:
     """lines with band 'header', 'footer' or 'body': thin bands at the page's edges with a visible gap to the rest."""
+    # fixed values: a band's height and the gap in heights of words, and the share of the page that is its edge (1.5, 0.7, 0.12)
     whole = Window.partitionBy(page)
     h = F.col("median_word_h")
     found = lines.join(metrics.select(page, "median_word_h", "coord_h"), page)
@@ -194,6 +195,7 @@ def caption_prefix(words: DataFrame, page: str, line: list[str], width: Column)
 
 def drop_caps(words: DataFrame, page: str, line: list[str], tall: float = 1.8) -> DataFrame:
     """Words of one or two letters that are tall for their page, with the word at their right that they belong to."""
+    # fixed value: a letter is tall from 1.8 times the middle height on
     height = F.col("b") - F.col("t")
     nearest = Window.partitionBy(page, *line).orderBy("l", "word_no")
     ready = words.withColumn("_mid", F.median(height).over(Window.partitionBy(page))).withColumn("next_word", F.lead("word").over(nearest))
