@@ -44,3 +44,28 @@ def test_stages(spark, tmp_path):
     assert all(left[i].text == t for i, t, _ in rows[:150])
     packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {x.doc_id for x in packed} == left.keys()
+
+
+def test_no_rows(spark, tmp_path):
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_null_ids_repeated_rows_and_clashing_names(spark, tmp_path):
+    r = random.Random(13)
+    rows, items, *_ = fixture(r)
+    short = text(r, "bb", 30)
+    rows = [x for x in rows if x[0] < 150] + [(None, text(r, "aa", 80), "aa")] + [(600, short, "bb")] * 2
+    docs = spark.createDataFrame([(i, t, l, f"s{(i or 0) % 4}", len(t), "component", 7, "start") for i, t, l in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint, component string, position int, start string")  # noqa: E741
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    now = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        stage(spark, now, str(tmp_path)).write.parquet(f"{tmp_path}/{k}")
+        now = spark.read.parquet(f"{tmp_path}/{k}")
+        assert now.columns == docs.columns
+    left = now.collect()
+    assert len(left) == len(rows) and {(x.component, x.position, x.start) for x in left} == {("component", 7, "start")}
+    assert [x.text for x in left if x.doc_id == 600] == [short] * 2 and len([x for x in left if x.doc_id is None]) == 1
