@@ -46,14 +46,19 @@ def gaps_consistent(lines: DataFrame, page: str, keys: list[str]) -> DataFrame:
 
 
 def uncovered_blocks(members: DataFrame, page: str, block: str, word: list[str]) -> DataFrame:
-    """(page, block) of blocks that hold a word which no earlier block holds, from a row per block and word."""
-    first = members.groupBy(page, *word).agg(F.min(block).alias(block))
+    """(page, block) of blocks that hold a word which no earlier block holds, from a row per block and word.  A block without
+    words, a row whose word is null, stays as well."""
+    empty = F.when(F.coalesce(*[F.col(c).cast("string") for c in word]).isNull(), F.col(block))
+    first = members.withColumn("_empty", empty).groupBy(page, *word, "_empty").agg(F.min(block).alias(block))
     return first.select(page, block).distinct()
 
 
-def indent_signature(lines: DataFrame, page: str, paragraph: str, keys: list[str]) -> DataFrame:
+def indent_signature(lines: DataFrame, page: str, paragraph: str, keys: list[str], skipped: Column | None = None) -> DataFrame:
     """(page, body_left, standard_indent) of lines in units of the page's width: the middle of the leftmost third of the
-    left edges, and the middle indent of first lines of paragraphs whose other lines keep to that edge."""
+    left edges, and the middle indent of first lines of paragraphs whose other lines keep to that edge.
+    Skipped lines (side notes, verse and the like) don't count; a page of nothing else has no row."""
+    if skipped is not None:
+        lines = lines.where(~F.coalesce(skipped, F.lit(False)))
     middle = lambda values: F.element_at(values, (F.floor(F.size(values) / 2) + 1).cast("int"))
     lefts = lines.groupBy(page).agg(F.sort_array(F.collect_list("l")).alias("_all"))
     edge = F.slice("_all", F.lit(1), F.greatest(F.lit(1), F.floor(F.size("_all") * LEFT_SHARE).cast("int")))

@@ -24,6 +24,21 @@ def test_indent_of_body_paragraphs(spark):
     assert got == {1: (0.1, 0.04), 2: (0.2, 0.03)}
 
 
+def test_blocks_without_words_stay(spark):
+    rows = [(1, 0, "a"), (1, 1, None), (1, 2, "a"), (1, 3, None), (2, 0, None)]
+    df = spark.createDataFrame(rows, "page int, block int, word string")
+    assert sorted(tuple(x) for x in reading.uncovered_blocks(df, "page", "block", ["word"]).collect()) == [(1, 0), (1, 1), (1, 3), (2, 0)]
+
+
+def test_skipped_lines_have_no_indent(spark):
+    verse = [(1, 20 + p, i, 0.02, "poetry") for p in range(9) for i in range(2)] + [(3, 0, 0, 0.3, "sidenote")]
+    rows = [(1, p, i, 0.1 + (0.04 if i == 0 else 0.0), None if p else "body") for p in range(4) for i in range(3)] + verse
+    df = spark.createDataFrame(rows, "page int, paragraph int, line_no int, l double, role string")
+    got = {x.page: (x.body_left, round(x.standard_indent, 9)) for x in reading.indent_signature(df, "page", "paragraph", ["line_no"], F.col("role") != "body").collect()}
+    assert got == {1: (0.1, 0.04)}
+    assert {x.page: x.body_left for x in reading.indent_signature(df, "page", "paragraph", ["line_no"]).collect()} == {1: 0.02, 3: 0.3}
+
+
 def test_caps_by_the_lexicon(spark):
     lexicon = spark.createDataFrame([(w,) for w in ("Studies", "now", "know", "cat", "hat", "Once", "once", None, "")], "word string")
     words = spark.createDataFrame([(w,) for w in ("TUDIES,", "now", "at", "nce", "zzz", "", None)], "word string")
