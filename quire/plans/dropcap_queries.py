@@ -12,16 +12,16 @@ def capped_words(spark, d):
     every fifth page it stands too far away, and on others a mark was read with it."""
     x = word_boxes(spark, d)
     begins = ((F.col("doc_id") + F.col("line_no")) % 3 == 0) & (F.col("word_no") == 0) & (F.length("word") > 1)
-    rest = x.select(
-        "doc_id", (2 * F.col("line_no") + 1).alias("paragraph"), "row", "word_no", F.when(begins, F.expr("substring(word, 2)")).otherwise(F.col("word")).alias("word"),
+    left = F.col("l") - F.when(F.col("doc_id") % 5 == 0, 200).otherwise(0)
+    rest = F.struct(
+        (2 * F.col("line_no") + 1).alias("paragraph"), "row", "word_no", F.when(begins, F.expr("substring(word, 2)")).otherwise(F.col("word")).alias("word"),
         F.when(begins, F.col("l") + 35).otherwise(F.col("l")).alias("l"), "t", F.when(begins, F.col("l") + 58).otherwise(F.col("r")).alias("r"), "b",
     )
-    left = F.col("l") - F.when(F.col("doc_id") % 5 == 0, 200).otherwise(0)
-    caps = x.where(begins).select(
-        "doc_id", (2 * F.col("line_no")).alias("paragraph"), F.lit(0).alias("row"), F.lit(0).alias("word_no"), F.concat(F.left("word", F.lit(1)), F.when(F.col("line_no") % 2 == 0, "'").otherwise("")).alias("word"),
+    cap = F.struct(
+        (2 * F.col("line_no")).alias("paragraph"), F.lit(0).alias("row"), F.lit(0).alias("word_no"), F.concat(F.left("word", F.lit(1)), F.when(F.col("line_no") % 2 == 0, "'").otherwise("")).alias("word"),
         left.alias("l"), "t", (left + 30).alias("r"), (F.col("t") + 34).alias("b"),
     )
-    return rest.unionByName(caps).withColumn("block", F.lit(0))
+    return x.select("doc_id", F.inline(F.when(begins, F.array(rest, cap)).otherwise(F.array(rest)))).withColumn("block", F.lit(0))
 
 
 CAPPED_SQL = (
@@ -47,32 +47,35 @@ def dropcaps_stitched(spark, d):
     return dropcaps.lines_of(moved, key).join(counts, key)
 
 
+#: Ten paragraphs to a page.
+PAGE = F.expr("doc_id * 1000 + floor(line_no / 10)")
+
+
 def gapped_words(spark, d):
     """Ten paragraphs to a page, in units of the page.  Every fourth paragraph has lost its first letter, and its first two
     rows, or three, are set in; on every third page a dash was read in the letter's place."""
     line, row, doc = F.col("line_no"), F.col("row"), F.col("doc_id")
     lost = line % 4 == 1
     aside = F.when(lost & (row < 2 + doc % 2), 50.0).otherwise(0.0)
-    x = word_boxes(spark, d).where(~lost | (F.col("word_no") > 0) | (F.length("word") > 1))
-    key = [(doc * 1000 + F.floor(line / 10)).alias("page"), F.lit(0).alias("block"), line.alias("paragraph"), row.alias("row")]
+    x = word_boxes(spark, d, PAGE).where(~lost | (F.col("word_no") > 0) | (F.length("word") > 1))
+    key = ["page", F.lit(0).alias("block"), line.alias("paragraph"), row.alias("row")]
     down = 400.0 * (line % 10) - 400.0 * line
-    found = x.select(
-        *key, "word_no", F.when(lost & (F.col("word_no") == 0), F.expr("substring(word, 2)")).otherwise(F.col("word")).alias("word"),
+    top = 400.0 * (line % 10)
+    word = F.struct(
+        "word_no", F.when(lost & (F.col("word_no") == 0), F.expr("substring(word, 2)")).otherwise(F.col("word")).alias("word"),
         ((F.col("l") + aside) / 720).alias("l"), ((F.col("t") + down) / 4400).alias("t"), ((F.col("r") + aside) / 720).alias("r"), ((F.col("b") + down) / 4400).alias("b"), "conf",
     )
-    top = 400.0 * (line % 10)
-    dash = x.where(lost & (F.col("word_no") == 0) & (doc % 3 == 0)).select(*key, F.lit(-5).alias("word_no"), F.lit("-").alias("word"), (F.lit(10.0) / 720).alias("l"), ((top + 2) / 4400).alias("t"), (F.lit(20.0) / 720).alias("r"), ((top + 8) / 4400).alias("b"), F.lit(0.5).alias("conf"))
-    return found.unionByName(dash)
+    dash = F.struct(F.lit(-5).alias("word_no"), F.lit("-").alias("word"), (F.lit(10.0) / 720).alias("l"), ((top + 2) / 4400).alias("t"), (F.lit(20.0) / 720).alias("r"), ((top + 8) / 4400).alias("b"), F.lit(0.5).alias("conf"))
+    return x.select(*key, F.inline(F.when(lost & (F.col("word_no") == 0) & (doc % 3 == 0), F.array(word, dash)).otherwise(F.array(word))))
 
 
 def gap_parts(spark, d):
     """A part as tall as three rows before each paragraph that lost its letter, and a speck before each paragraph."""
     line = F.col("line_no")
     top = 400.0 * (line % 10)
-    page = (F.col("doc_id") * 1000 + F.floor(line / 10)).alias("page")
     box = lambda part, a, b, c, e, area: F.struct(part.alias("part"), (F.lit(a) / 720).alias("l"), ((top + b) / 4400).alias("t"), (F.lit(c) / 720).alias("r"), ((top + e) / 4400).alias("b"), F.lit(area).alias("area"))
-    begins = word_boxes(spark, d).where("word_no = 0")
-    return begins.select(page, F.inline(F.filter(F.array(F.when(line % 4 == 1, box(line, 6.0, -4.0, 40.0, 34.0, 1000)), box(line + 1000, 8.0, 1.0, 12.0, 6.0, 20)), lambda x: x.isNotNull())))
+    begins = word_boxes(spark, d, PAGE).where("word_no = 0")
+    return begins.select("page", F.inline(F.filter(F.array(F.when(line % 4 == 1, box(line, 6.0, -4.0, 40.0, 34.0, 1000)), box(line + 1000, 8.0, 1.0, 12.0, 6.0, 20)), lambda x: x.isNotNull())))
 
 
 # Median words, and the middle of sorted lists, as the steps take them; claims by a self-join.
