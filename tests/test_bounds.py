@@ -21,3 +21,42 @@ def test_markup_is_returned_in_slices(spark, monkeypatch):
     monkeypatch.setattr(markup, "SLICE", 300)
     assert sorted(map(str, markup.tokens(df, "id", "text").collect())) == whole
     assert len(whole) == sum(len(markup.lex(t or "")) for _, t in texts)
+
+
+def test_edits_left_equal_edit_costs():
+    a, b = ([matching.comparison(x) for x in y.split()] for y in ("ab\u00e9 c dd abc", "abe cd d ab x"))
+    left = matching._edits_left(a, b)
+    flat = lambda x: tuple(g for t in x for g in t)
+    assert left == [[matching.edit_cost(flat(a[i:]), flat(b[j:]), matching.Policy()) for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+
+
+def test_alignment_looks_at_few_cells(monkeypatch):
+    words = [f"word{i * i}" for i in range(100)]
+    target = [w + "e" if i % 4 == 1 else w.upper() for i, w in enumerate(words) if i % 5 != 3]
+    seen = []
+    cost = matching.unit_cost
+    monkeypatch.setattr(matching, "unit_cost", lambda s, t: seen.append(1) or cost(s, t))
+    found = matching.align(words, target, matching.Policy())
+    assert found["accepted"] is False or found["margin"] >= 1
+    assert len(seen) < 20 * len(words)
+
+
+def test_documents_of_one_side_and_null_ids_are_aligned(spark):
+    schema = "doc string, pos int, text string"
+    source = spark.createDataFrame([("a", 1, "two"), ("a", 0, "one"), (None, 0, "x"), ("s", 0, "only")], schema)
+    target = spark.createDataFrame([("a", 0, "One"), ("a", 1, "two"), (None, 0, "x"), ("t", 0, "only")], schema)
+    found = {r["doc"]: (r["cost"], [b["kind"] for b in r["best"]]) for r in matching.match_documents(source, target, "doc").collect()}
+    assert found == {"a": (0.0, ["one_to_one"] * 2), None: (0.0, ["one_to_one"]), "s": (4.0, ["source_only"]), "t": (4.0, ["target_only"])}
+
+
+def test_variants_that_cannot_win_are_not_scored(monkeypatch):
+    tried = []
+    score = matching.ratio
+    monkeypatch.setattr(matching, "ratio", lambda a, b: tried.append(1) or score(a, b))
+    found, previous, line = "ail This line is lon", "the tail", "this line is long"
+    every = [max(score(found, v), score(found.lower(), v.lower())) for v in matching.hyphen_variants(previous, line)]
+    assert matching.best_variant(found, previous, line) == (max(every), matching.hyphen_variants(previous, line)[every.index(max(every))])
+    assert len(tried) < 2 * len(every)
+    tried.clear()
+    matching.best_variant("a whole line of words", "before it", "a whole line of words")
+    assert len(tried) == 1
