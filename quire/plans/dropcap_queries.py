@@ -47,8 +47,9 @@ def dropcaps_stitched(spark, d):
     return dropcaps.lines_of(moved, key).join(counts, key)
 
 
-#: Ten paragraphs to a page.
-PAGE = F.expr("doc_id * 1000 + floor(line_no / 10)")
+def page():
+    """Ten paragraphs to a page.  A function, as columns can't be made before there is a session."""
+    return F.expr("doc_id * 1000 + floor(line_no / 10)")
 
 
 def gapped_words(spark, d):
@@ -57,7 +58,7 @@ def gapped_words(spark, d):
     line, row, doc = F.col("line_no"), F.col("row"), F.col("doc_id")
     lost = line % 4 == 1
     aside = F.when(lost & (row < 2 + doc % 2), 50.0).otherwise(0.0)
-    x = word_boxes(spark, d, PAGE).where(~lost | (F.col("word_no") > 0) | (F.length("word") > 1))
+    x = word_boxes(spark, d, page()).where(~lost | (F.col("word_no") > 0) | (F.length("word") > 1))
     key = ["page", F.lit(0).alias("block"), line.alias("paragraph"), row.alias("row")]
     down = 400.0 * (line % 10) - 400.0 * line
     top = 400.0 * (line % 10)
@@ -74,7 +75,7 @@ def gap_parts(spark, d):
     line = F.col("line_no")
     top = 400.0 * (line % 10)
     box = lambda part, a, b, c, e, area: F.struct(part.alias("part"), (F.lit(a) / 720).alias("l"), ((top + b) / 4400).alias("t"), (F.lit(c) / 720).alias("r"), ((top + e) / 4400).alias("b"), F.lit(area).alias("area"))
-    begins = word_boxes(spark, d, PAGE).where("word_no = 0")
+    begins = word_boxes(spark, d, page()).where("word_no = 0")
     return begins.select("page", F.inline(F.filter(F.array(F.when(line % 4 == 1, box(line, 6.0, -4.0, 40.0, 34.0, 1000)), box(line + 1000, 8.0, 1.0, 12.0, 6.0, 20)), lambda x: x.isNotNull())))
 
 
