@@ -6,6 +6,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.functions.geometry import interval_gap
+from quire.operators import seeded
+
 # Shares of the page's width and ratios of heights.
 SPLIT_GAP, NEAR_GAP, NEAR, SPLIT_RATIO, NEAR_RATIO = 0.022, 0.014, 0.06, 1.20, 1.02
 
@@ -110,35 +113,17 @@ def _joins(a: list[float], b: list[float], limit: float) -> bool:
 
 def grown_blocks(words: DataFrame, page: str, keys: list[str], reach_x: float, reach_y: float) -> DataFrame:
     """(page, keys, block): words whose boxes come within reach of one another are of one block, transitively; blocks count
-    from 0 in order of their first word.  A sweep from left to right meets only words within reach."""
-    fields = [words.schema[c] for c in (page, *keys)]
-
-    def grow(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["l", *keys]).reset_index(drop=True)
-        root = list(range(len(rows)))
-
-        def top(i: int) -> int:
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
-
-        open_words: list[int] = []
-        left, up, right, down = (rows[c].to_numpy() for c in "ltrb")
-        for i in range(len(rows)):
-            open_words = [j for j in open_words if right[j] + reach_x >= left[i]]
-            for j in open_words:
-                if up[i] - down[j] <= reach_y and up[j] - down[i] <= reach_y:
-                    root[max(top(i), top(j))] = min(top(i), top(j))
-            open_words.append(i)
-        rows["_top"] = [top(i) for i in range(len(rows))]
-        rows = rows.sort_values(keys)
-        names: dict[int, int] = {}
-        rows["block"] = [names.setdefault(t, len(names)) for t in rows["_top"]]
-        return rows[[page, *keys, "block"]]
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", block int"
-    return words.groupBy(page).applyInPandas(grow, schema)
+    from 0 in order of their first word.  Words that follow one another within reach are a run; runs meet in grid cells."""
+    order = Window.partitionBy(page).orderBy(*keys)
+    before = lambda c: F.lag(c).over(order)
+    apart = (interval_gap(before("l"), before("r"), F.col("l"), F.col("r")) > reach_x) | (interval_gap(before("t"), before("b"), F.col("t"), F.col("b")) > reach_y)
+    x = words.select(page, *keys, *"ltrb").withColumn("_new", (F.row_number().over(order) == 1) | F.coalesce(apart, F.lit(True)))
+    x = seeded.pieces(x, page, keys, F.col("_new"), F.collect_list(F.struct(*keys)).alias("_keys"))
+    joined = seeded.components(seeded.touching(x, page, F.lit(reach_x), F.lit(reach_y)), page)
+    # runs are numbered in order of the words, so the least run of a block has its first word
+    x = x.select(page, "node", "_keys").join(joined, [page, "node"], "left")
+    block = F.dense_rank().over(Window.partitionBy(page).orderBy(F.coalesce("component", "node"))) - 1
+    return x.select(page, "_keys", block.alias("block")).select(page, F.inline("_keys"), "block").select(page, *keys, "block")
 
 
 def floated(lines: DataFrame, page: str, keys: list[str], width: Column) -> DataFrame:
