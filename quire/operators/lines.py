@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -82,23 +83,28 @@ def split_mixed(words: DataFrame, page: str, line: list[str], width: Column, pre
 
 def rejoin(lines: DataFrame, page: str, line: str = "line_no") -> DataFrame:
     """(page, line, joined): the line that each one joins, itself if none.  A line joins the one before if they share most of
-    their height, hardly any width, are close, and of like letters; what has grown is held against the next."""
-    page_type = lines.schema[page].dataType.simpleString()
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(line)
-        limit = 0.10 * (rows["r"] - rows["l"]).median()
-        out, head = [], None
-        for x in rows.itertuples():
-            box = [x.l, x.t, x.r, x.b]
-            if head is not None and _joins(head[1], box, limit):
-                head[1] = [min(a, b) if k < 2 else max(a, b) for k, (a, b) in enumerate(zip(head[1], box, strict=True))]
-            else:
-                head = [getattr(x, line), box]
-            out.append((getattr(x, page), getattr(x, line), head[0]))
-        return pd.DataFrame(out, columns=[page, line, "joined"])
-
-    return lines.groupBy(page).applyInPandas(fold, f"`{page}` {page_type}, `{line}` int, joined int")
+    their height, hardly any width, are close, and of like letters; what has grown is held against the next.  A page's
+    boxes are one row, and many rows one batch."""
+
+    @F.pandas_udf("array<int>")
+    def heads(numbers: pd.Series, *sides: pd.Series) -> pd.Series:
+        return pd.Series([_heads(n.tolist(), *(x.tolist() for x in box)) for n, *box in zip(numbers, *sides, strict=True)])
+
+    boxes = F.sort_array(F.collect_list(F.struct(F.col(line).cast("int").alias("line"), *[F.col(c).cast("double").alias(c) for c in "ltrb"])))
+    found = lines.groupBy(page).agg(boxes.alias("_x")).withColumn("_head", heads(*[f"_x.{c}" for c in ("line", *"ltrb")]))
+    return found.select(page, F.inline(F.arrays_zip(F.col("_x.line").alias(line), F.col("_head").alias("joined"))))
+
+
+def _heads(numbers: list[int], left: list[float], up: list[float], right: list[float], down: list[float]) -> list[int]:
+    limit = 0.10 * float(np.median([b - a for a, b in zip(left, right, strict=True)]))
+    out, head, grown = [], 0, None
+    for n, *box in zip(numbers, left, up, right, down, strict=True):
+        if grown is not None and _joins(grown, box, limit):
+            grown = [min(grown[0], box[0]), min(grown[1], box[1]), max(grown[2], box[2]), max(grown[3], box[3])]
+        else:
+            head, grown = n, box
+        out.append(head)
+    return out
 
 
 def _joins(a: list[float], b: list[float], limit: float) -> bool:
