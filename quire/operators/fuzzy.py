@@ -55,50 +55,59 @@ def _rarity(piece: Column, k: Column, size: int) -> Column:
 
 
 def _first_letters(texts: DataFrame, page: str, kept: Column) -> DataFrame:
-    """(page, side, key, n, piece, k) of the rarest letters of short texts, without a shuffle."""
+    """(page, key, n, piece, k) of the rarest letters of short texts."""
     at = lambda i: F.substring(F.col("text"), i, F.lit(1))
     before = lambda i: F.substring(F.col("text"), F.lit(1), i)
     count = lambda i: F.length(before(i)) - F.length(F.replace(before(i), at(i), F.lit("")))
     whole = F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: F.struct(_rarity(at(i), count(i), 1).alias("order"), at(i).alias("piece"), count(i).alias("k")))
-    found = texts.select(page, "side", "key", "n", F.explode(F.slice(F.array_sort(whole), F.lit(1), kept.cast("int"))).alias("p"))
-    return found.select(page, "side", "key", "n", "p.piece", "p.k")
+    found = texts.select(page, "key", "n", F.explode(F.slice(F.array_sort(whole), F.lit(1), kept.cast("int"))).alias("p"))
+    return found.select(page, "key", "n", "p.piece", "p.k")
 
 
 def _first_pairs(texts: DataFrame, page: str, kept: Column) -> DataFrame:
-    """The same of the rarest two-letter pieces, the k-th of equal ones as a piece of its own; texts are dealt once."""
+    """The same of the rarest two-letter pieces, the k-th of equal ones as a piece of its own."""
     whole = F.transform(F.sequence(F.lit(1), F.col("n") - 1), lambda i: F.substring(F.col("text"), i, F.lit(2)))
-    dealt = texts.where("n > 1").repartition(page, "side", "key").select(page, "side", "key", "n", F.explode(whole).alias("piece"))
-    counted = dealt.groupBy(page, "side", "key", "n", "piece").agg(F.count("*").cast("int").alias("c"))
-    pieces = counted.select(page, "side", "key", "n", F.explode(F.sequence(F.lit(1), F.col("c"))).alias("k"), "piece")
-    order = Window.partitionBy(page, "side", "key").orderBy(_rarity(F.col("piece"), F.col("k"), 2), "piece", "k")
-    return pieces.withColumn("r", F.row_number().over(order)).where(F.col("r") <= kept).select(page, "side", "key", "n", "piece", "k")
+    counted = texts.where("n > 1").select(page, "key", "n", F.explode(whole).alias("piece")).groupBy(page, "key", "n", "piece").agg(F.count("*").cast("int").alias("c"))
+    pieces = counted.select(page, "key", "n", F.explode(F.sequence(F.lit(1), F.col("c"))).alias("k"), "piece")
+    order = Window.partitionBy(page, "key").orderBy(_rarity(F.col("piece"), F.col("k"), 2), "piece", "k")
+    return pieces.withColumn("r", F.row_number().over(order)).where(F.col("r") <= kept).select(page, "key", "n", "piece", "k")
 
 
-def _meeting(texts: DataFrame, page: str, size: int, least: int) -> DataFrame:
+def _meeting(left: DataFrame, right: DataFrame, page: str, size: int, least: int) -> DataFrame:
     """(page, a, b): keys of texts whose rarest pieces meet and whose lengths allow it."""
     s = share(least)
     shortest = F.col("n") * (2 / (2 - s))  # of |a| + |b|, given |a|
     common = shortest * (s / 2) if size == 1 else shortest * (1.5 * s - 1) - 1
     # Numbers of pieces are whole, so a little less than the bound is no looser and safe from rounding.
     kept = F.col("n") - size + 1 - F.greatest(F.lit(1), F.ceil(common - 1e-6)) + 1
-    first = (_first_letters if size == 1 else _first_pairs)(texts, page, kept)
-    side = lambda x, name: first.where(F.col("side") == x).select(page, "piece", "k", F.col("key").alias(name), F.col("n").alias(f"n_{name}"))
+    first = _first_letters if size == 1 else _first_pairs
+    side = lambda x, name: first(x, page, kept).select(page, "piece", "k", F.col("key").alias(name), F.col("n").alias(f"n_{name}"))
     total = F.col("n_a") + F.col("n_b")
     fits = (2 * F.least("n_a", "n_b") >= total * s - 1e-6) & ((total >= _long(least)) if size == 2 else (total < _long(least)))
-    return side(0, "a").join(fresh(side(1, "b")), [page, "piece", "k"]).where(fits).select(page, "a", "b").distinct()
+    return side(left, "a").join(fresh(side(right, "b")), [page, "piece", "k"]).where(fits).select(page, "a", "b").distinct()
 
 
 def alike(left: DataFrame, right: DataFrame, page: str, text: str = "text", least: int = RECOVER_SCORE) -> DataFrame:
     """(page, a, b, score): all pairs of alike texts of a page, one on the left, one on the right, each once."""
-    side = lambda df, x: df.where(F.col(text) != "").select(page, F.lit(x).alias("side"), F.col(text).alias("text")).distinct()
-    texts = side(left, 0).unionByName(side(fresh(right), 1)).select("*", F.md5("text").alias("key"), F.length("text").alias("n"))
+    found = _alike(left, right, page, text, least)
+    return found.select(page, "a", "b", "score")
+
+
+def _alike(left: DataFrame, right: DataFrame, page: str, text: str, least: int) -> DataFrame:
+    """alike() with key_a and key_b, the digests of the texts.  Both sides stay where they were dealt by page."""
+    texts = lambda df: df.where(F.col(text) != "").select(page, F.col(text).alias("text")).distinct().select("*", F.md5("text").alias("key"), F.length("text").alias("n"))
+    sides = texts(left), texts(fresh(right))
     s, edge = share(least), _long(least)
-    # A text of n letters has partners of n * s / (2 - s) to n * (2 - s) / s letters.
-    met = _meeting(texts.where(F.col("n") * (2 / s) >= edge - 1e-6), page, 2, least).unionByName(_meeting(texts.where(F.col("n") * (2 / (2 - s)) < edge), page, 1, least))
-    named = lambda x, key: fresh(texts.where(F.col("side") == x).select(page, F.col("key").alias(key), F.col("text").alias(f"text_{key}")))
-    pairs = met.join(named(0, "a"), [page, "a"]).join(named(1, "b"), [page, "b"])
-    scored = pairs.select(page, F.col("text_a").alias("a"), F.col("text_b").alias("b"), fuzzy_ratio(F.col("text_a"), F.col("text_b")).alias("score"))
-    return scored.where(F.col("score") >= least)
+
+    def scored(size: int, fits: Column) -> DataFrame:
+        a, b = (x.where(fits) for x in sides)
+        named = lambda x, key: fresh(x.select(page, F.col("key").alias(key), F.col("text").alias(f"text_{key}")))
+        pairs = _meeting(a, b, page, size, least).join(named(a, "a"), [page, "a"]).join(named(b, "b"), [page, "b"])
+        found = pairs.select(page, F.col("text_a").alias("a"), F.col("text_b").alias("b"), F.col("a").alias("key_a"), F.col("b").alias("key_b"), fuzzy_ratio(F.col("text_a"), F.col("text_b")).alias("score"))
+        return found.where(F.col("score") >= least)
+
+    # A text of n letters has partners of n * s / (2 - s) to n * (2 - s) / s letters; a pair is long or short, never both.
+    return scored(2, F.col("n") * (2 / s) >= edge - 1e-6).unionByName(scored(1, F.col("n") * (2 / (2 - s)) < edge))
 
 
 def choose(pairs: DataFrame, left: DataFrame, right: DataFrame, page: str) -> DataFrame:
@@ -161,8 +170,10 @@ def displaced_lines(found: DataFrame, reference: DataFrame, page: str, line: str
     folded = lambda df, names: df.select(page, F.lower(text).alias("text"), *names)
     left = folded(found.join(fresh(same.select(page, line)), [page, line], "left_anti"), [F.col(line).alias("first"), (F.col(line) + 1).alias("last")])
     right = folded(reference.join(fresh(same.select(page, F.col(other).alias(line))), [page, line], "left_anti"), [F.col(line).alias("other")])
-    pairs = alike(left, right, page, least=least)
-    return choose(pairs, left.withColumnRenamed("text", "a"), right.withColumnRenamed("text", "b"), page).select(page, F.col("first").alias(line), F.col("other").alias(other), "score")
+    pairs = _alike(left, right, page, "text", least).select(page, F.col("key_a").alias("a"), F.col("key_b").alias("b"), "score")
+    # digests tell texts apart, and are all of them that is dealt
+    places = lambda df, key: df.withColumn(key, F.md5("text")).drop("text")
+    return choose(pairs, places(left, "a"), places(right, "b"), page).select(page, F.col("first").alias(line), F.col("other").alias(other), "score")
 
 
 def runs_of_words(words: DataFrame, page: str, pos: str, word: str, longest: int = 4) -> DataFrame:
