@@ -20,7 +20,7 @@ def truth_displaced_lines(spark, d):
 @query()
 def truth_combined_words(spark, d):
     """Words of each line, one in nine cut in two, against the words themselves."""
-    whole = words(spark, d).withColumn("page", F.concat_ws(":", "doc_id", "line_no"))
+    whole = words(spark, d, F.concat_ws(":", "doc_id", "line_no")).select("page", "word_no", "word")
     cut = F.when((F.col("word_no") % 9 == 4) & (F.length("word") > 3), F.array(F.substring("word", 1, 2), F.expr("substring(word, 3)"))).otherwise(F.array("word"))
     parts = whole.select("page", "word_no", F.posexplode(cut).alias("part", "word"))
     numbered = parts.select("page", (F.row_number().over(Window.partitionBy("page").orderBy("word_no", "part")) - 1).alias("word_no"), "word")

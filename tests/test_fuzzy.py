@@ -92,3 +92,13 @@ def test_variants(spark):
     df = spark.createDataFrame([("tion was good", "the posi-", "was good"), ("a good posi-", "", "a good position"), (None, None, None)], "x string, p string, y string")
     got = [tuple(r.v) for r in df.select(fuzzy.variant_of(F.col("x"), F.col("p"), F.col("y")).alias("v")).collect()]
     assert got[1] == (100, "a good posi-") and got[2] == (0, "") and got[0] == matching.best_variant("tion was good", "the posi-", "was good")
+
+
+@pytest.mark.parametrize("name", ["truth_displaced_lines", "truth_combined_words"])
+def test_pieces_and_texts_stay_where_they_are(spark, name):
+    import __spark_entry__ as e
+
+    plan = e.queries()[name](spark, e.SMOKE_DIR)._jdf.queryExecution().executedPlan().toString()
+    moved = [x for x in plan.splitlines() if "Exchange hash" in x and "REPARTITION_BY_NUM" not in x]
+    # the choice takes digests and places by page; no other step deals anything by pieces, digests or texts
+    assert not [x for x in moved if "piece#" in x or "key#" in x or "text#" in x] and len(moved) <= 4
