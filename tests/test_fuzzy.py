@@ -102,3 +102,40 @@ def test_pieces_and_texts_stay_where_they_are(spark, name):
     moved = [x for x in plan.splitlines() if "Exchange hash" in x and "REPARTITION_BY_NUM" not in x]
     # the choice takes digests and places by page; no other step deals anything by pieces, digests or texts
     assert not [x for x in moved if "piece#" in x or "key#" in x or "text#" in x] and len(moved) <= 4
+
+
+@pytest.mark.parametrize("least", [40, 70, 90])
+def test_blocks_of_pages_score_what_all_pairs_do(monkeypatch, least):
+    r = random.Random(least)
+    letters = "abcdeé " + "".join(chr(0x4E00 + i) for i in range(300)) * (least == 70) + "\ud800👍"
+    word = lambda most: "".join(r.choice(letters[:8] if r.random() < 0.9 else letters) for _ in range(r.randint(1, most)))
+    near = lambda texts: [t for t in {*texts[::3], *(noisy(r, t, 0.05) for t in texts)} if t]
+    pages = [(a := [*{*(word(9) for _ in range(30)), *(word(90) for _ in range(6))}], near(a)) for _ in range(12)] + [([], ["a"]), (["a"], []), (["a"], ["a"])]
+    pages.append(([t := "abcde" * 13, t[:64], t[:63]], [t[:64], t[:63], t + "x"]))
+    want = [{(x, y, s) for x in a for y in b if (s := matching.ratio(x, y)) >= least} for a, b in pages]
+    for texts, cells, pairs in ((1 << 13, 1 << 21, 1 << 18), (40, 2000, 50)):
+        for name, value in (("TEXTS", texts), ("CELLS", cells), ("PAIRS", pairs)):
+            monkeypatch.setattr(fuzzy, name, value)
+        got = fuzzy.alike_of_pages(pages, least)
+        assert [set(x) for x in got] == want and sum(map(len, got)) == sum(map(len, want)) > 100
+        some = [(x, y) for a, b in pages for x in a for y in b]
+        assert fuzzy.ratios(some) == [matching.ratio(*x) for x in some]
+
+
+def test_words_of_a_long_line_are_scored_in_bulk():
+    import time
+
+    r = random.Random(8)
+    words = ["".join(r.choice("etaoinshr") for _ in range(r.randint(3, 9))) for _ in range(3000)]
+    began = time.process_time()
+    found = fuzzy.alike_of_pages([(words, words)], 90)[0]
+    assert len(found) >= len(set(words)) and time.process_time() - began < 20
+
+
+def test_null_words_and_pages(spark):
+    rows = lambda *x: spark.createDataFrame(x, "page int, word_no int, word string")
+    found = rows((1, 0, "to"), (1, 1, None), (1, 2, "day"), (None, 0, "to"), (None, 1, "day"), (2, 0, None), (2, 1, ""))
+    reference = rows((1, 0, "today"), (1, 1, None), (1, 2, ""), (None, 0, "today"), (2, 0, "a"))
+    assert [tuple(x) for x in fuzzy.words_combined(found, reference, "page").collect()] == [(1, 0, 3, 0, 100)]
+    lines = [x.withColumnsRenamed({"word_no": "line_no", "word": "text"}) for x in (found, reference)]
+    assert fuzzy.displaced_lines(*lines, "page").collect() == []
