@@ -1,5 +1,7 @@
 """Work that grows with the input: pairs of neighbours, slices of markup, and lines aligned once."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from quire.operators import markup, matching
@@ -60,3 +62,33 @@ def test_variants_that_cannot_win_are_not_scored(monkeypatch):
     tried.clear()
     matching.best_variant("a whole line of words", "before it", "a whole line of words")
     assert len(tried) == 1
+
+
+def test_alignment_of_a_long_line_makes_no_texts_of_ways(monkeypatch):
+    """The ways of unit costs are the same as those of the search that keeps them as JSON, ties and all."""
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("abß") for _ in range(r.randint(0, 3)))
+    for _ in range(300):
+        a, b = ([word() for _ in range(r.randint(0, 5))] for _ in range(2))
+        x, y = ([tuple(matching.comparison(t)) for t in side] for side in (a, b))
+        want = matching._ways(x, y, matching.Policy(), matching._edits_left(x, y), float("inf"))
+        got = matching.align(a, b, matching.Policy())
+        assert (got["cost"], got["best"], got["second"]) == (want[0][0], want[0][1], want[1][1] if len(want) > 1 else [])
+    monkeypatch.setattr(matching.json, "loads", None)
+    words = [f"word{i * i}" for i in range(120)]
+    assert matching.align(words, [w + "e" if i % 4 == 1 else w for i, w in enumerate(words) if i % 5 != 3], matching.Policy())["margin"] is not None
+
+
+def test_alignment_travels_without_the_package(tmp_path):
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    matching.align(["one", "two"], ["One"], matching.Policy())
+    sent = cloudpickle.dumps(lambda: matching.align(["ab"], ["ac"], matching.Policy())["cost"])
+    assert len(sent) < 100_000
+    (tmp_path / "sent").write_bytes(sent)
+    code = "import pickle; print(pickle.load(open('sent', 'rb'))())"
+    done = subprocess.run([sys.executable, "-I", "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=120)
+    assert done.stdout.strip() == "1.0", done.stderr
