@@ -40,9 +40,9 @@ def decision(left: Column) -> Column:
     return F.when(left.rlike(r"(?<!-)-$"), "ambiguous").otherwise("preserve_punctuation")
 
 
-def edges(tokens: DataFrame, doc: str, keys: tuple[str, ...] = ("round",)) -> DataFrame:
-    """A row per marker: its place ('inside', 'trailing', 'leading'), the two fragments, their boundary, the candidate texts
-    and decision; reason says why a marker gives no edge.  A leading marker after a trailing one belongs to that."""
+def _judged(tokens: DataFrame, doc: str, keys: tuple[str, ...]) -> tuple[DataFrame, list[Column]]:
+    """tokens with the place, marker, fragments, boundary and reason of those that have a marker (else without a place), and where the fragments
+    stand; one pass over a document's tokens."""
     order = Window.partitionBy(doc, *keys).orderBy("token_index")
     ids = ("page_id", "page_index", "line_id", "line_index", "text", "token_index")
     near = tokens.select("*", *[F.lead(c).over(order).alias(f"next_{c}") for c in ids], *[F.lag(c).over(order).alias(f"last_{c}") for c in ids])
@@ -56,7 +56,7 @@ def edges(tokens: DataFrame, doc: str, keys: tuple[str, ...] = ("round",)) -> Da
     right = F.when(inside, F.substring_index(text, "*", -1)).when(trailing, F.regexp_replace(after, r"^\*", "")).when(leading, F.expr("substring(text, 2)"))
     own, coming, gone = ({c: F.col(f"{p}{c}") for c in ids} for p in ("", "next_", "last_"))
     link = F.when(inside, "same_line").when(trailing, boundary(own, coming)).when(leading, boundary(gone, own))
-    marked = near.withColumn("place", place).where(F.col("place").isNotNull()).withColumn("marker", star)
+    marked = near.withColumn("place", place).withColumn("marker", star)
     marked = marked.withColumn("left", left).withColumn("right", right).withColumn("boundary", link)
     reason = (
         F.when(lone, "empty_fragment")
@@ -67,8 +67,14 @@ def edges(tokens: DataFrame, doc: str, keys: tuple[str, ...] = ("round",)) -> Da
     )
     is_place = lambda name: F.col("place") == name
     locus = [F.when(is_place("leading"), gone[c]).otherwise(own[c]).alias(f"left_{c}") for c in LOCUS] + [F.when(is_place("trailing"), coming[c]).otherwise(own[c]).alias(f"right_{c}") for c in LOCUS]
-    found = marked.withColumn("reason", reason)
-    ok = F.col("reason").isNull()
+    return marked.withColumn("reason", F.when(F.col("place").isNotNull(), reason)), locus
+
+
+def edges(tokens: DataFrame, doc: str, keys: tuple[str, ...] = ("round",)) -> DataFrame:
+    """A row per marker: its place ('inside', 'trailing', 'leading'), the two fragments, their boundary, the candidate texts
+    and decision; reason says why a marker gives no edge.  A leading marker after a trailing one belongs to that."""
+    judged, locus = _judged(tokens, doc, keys)
+    found, ok = judged.where(F.col("place").isNotNull()), F.col("reason").isNull()
     return found.select(doc, *keys, "token_index", "place", "marker", F.when(ok, F.col("left")).alias("left"), F.when(ok, F.col("right")).alias("right"), F.when(ok, F.col("boundary")).alias("boundary"), F.when(ok, candidates(F.col("left"), F.col("right"))).alias("candidates"), F.when(ok, decision(F.col("left"))).alias("decision"), "reason", *locus)
 
 
@@ -94,3 +100,10 @@ def surface(tokens: DataFrame, found: DataFrame, doc: str, keys: tuple[str, ...]
     proven = found.where("reason is null").select(doc, *keys, "token_index", F.lit(True).alias("_proven"))
     joined = tokens.join(proven, [doc, *keys, "token_index"], "left")
     return joined.withColumn("text", F.when(F.col("_proven"), F.regexp_replace("text", r"\*", "")).otherwise(F.col("text"))).drop("_proven")
+
+
+def surfaced(tokens: DataFrame, doc: str, keys: tuple[str, ...] = ("round",), into: str = "clean") -> DataFrame:
+    """tokens and `into`, their text as surface() gives it by the tokens' own edges; no token is joined to another."""
+    judged, _ = _judged(tokens, doc, keys)
+    proven = F.col("place").isNotNull() & F.col("reason").isNull()
+    return judged.select(*tokens.columns, F.when(proven, F.regexp_replace("text", r"\*", "")).otherwise(F.col("text")).alias(into))

@@ -125,3 +125,14 @@ def test_spans_are_cut_at_words(spark):
     words = spark.createDataFrame([(1, 0, 0, 3), (1, 1, 4, 8), (1, 2, 9, 12)], "page int, word_no int, token_start int, token_end int")
     got = matching.project_spans(spans, words, "page").orderBy("word_no").select("word_no", "start", "end").collect()
     assert [tuple(x) for x in got] == [(0, 2, 3), (1, 0, 4)]
+
+
+def test_surface_of_own_edges_needs_no_join(spark):
+    import __spark_entry__ as e
+
+    plain = tokens(spark, ("p001", 0, "to-* day a*b * *c"), ("p001", 1, "x-* *y **z* end*"), ("p003", 0, "*w on-*"), rounds=(1, 2))
+    joined = continuations.surface(plain, continuations.edges(plain, "doc"), "doc")
+    got = continuations.surfaced(plain, "doc").drop("text").withColumnRenamed("clean", "text")
+    assert sorted(map(str, got.select(joined.columns).collect())) == sorted(map(str, joined.collect())) and got.where("text = 'ab'").count() == 2
+    plan = e.queries()["continuation_surface"](spark, e.SMOKE_DIR)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
