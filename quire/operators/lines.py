@@ -7,7 +7,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.functions.geometry import interval_gap
 from quire.operators import seeded
 
 # Shares of the page's width and ratios of heights.
@@ -117,19 +116,37 @@ def _joins(a: list[float], b: list[float], limit: float) -> bool:
     return max(second[0] - first[2], 0) < limit
 
 
+def _blocks_of_pages(words: DataFrame, page: str, keys: list[str], reach_x: float, reach_y: float) -> DataFrame:
+    """(page, _words, _blocks): a page's words in order, and the block of each."""
+    found = words.groupBy(page).agg(F.sort_array(F.collect_list(F.struct(*keys, *[F.col(c).cast("double").alias(c) for c in "ltrb"]))).alias("_words"))
+
+    @F.pandas_udf("array<int>")
+    def blocks(*box: pd.Series) -> pd.Series:
+        joined = lambda given: seeded.joined_words([np.asarray(x, np.float64) for x in given], np.zeros(len(given[0]), bool), reach_x, reach_y)
+        # runs are numbered in order of the words, so the least run of a block has its first word
+        return pd.Series([np.unique(joined(given), return_inverse=True)[1].astype(np.int32) for given in zip(*box, strict=True)])
+
+    return found.select(page, "_words", blocks(*[f"_words.{c}" for c in "ltrb"]).alias("_blocks"))
+
+
 def grown_blocks(words: DataFrame, page: str, keys: list[str], reach_x: float, reach_y: float) -> DataFrame:
     """(page, keys, block): words whose boxes come within reach of one another are of one block, transitively; blocks count
-    from 0 in order of their first word.  Words that follow one another within reach are a run; runs meet in grid cells."""
-    order = Window.partitionBy(page).orderBy(*keys)
-    before = lambda c: F.lag(c).over(order)
-    apart = (interval_gap(before("l"), before("r"), F.col("l"), F.col("r")) > reach_x) | (interval_gap(before("t"), before("b"), F.col("t"), F.col("b")) > reach_y)
-    x = words.select(page, *keys, *"ltrb").withColumn("_new", (F.row_number().over(order) == 1) | F.coalesce(apart, F.lit(True)))
-    x = seeded.pieces(x, page, keys, F.col("_new"), F.collect_list(F.struct(*keys)).alias("_keys"))
-    joined = seeded.components(seeded.touching(x, page, F.lit(reach_x), F.lit(reach_y)), page)
-    # runs are numbered in order of the words, so the least run of a block has its first word
-    x = x.select(page, "node", "_keys").join(joined, [page, "node"], "left")
-    block = F.dense_rank().over(Window.partitionBy(page).orderBy(F.coalesce("component", "node"))) - 1
-    return x.select(page, "_keys", block.alias("block")).select(page, F.inline("_keys"), "block").select(page, *keys, "block")
+    from 0 in order of their first word.  A page's words are one row."""
+    found = _blocks_of_pages(words, page, keys, reach_x, reach_y)
+    return found.select(page, F.inline(F.arrays_zip(*[F.col(f"_words.{c}") for c in keys], F.col("_blocks").alias("block"))))
+
+
+def grown_sizes(words: DataFrame, page: str, keys: list[str], reach_x: float, reach_y: float) -> DataFrame:
+    """(page, block, n_words, keys of the first word) of grown_blocks(), without a row for each word."""
+
+    @F.pandas_udf("block array<int>, n_words array<bigint>, first array<int>")
+    def sizes(blocks: pd.Series) -> pd.DataFrame:
+        out = [np.unique(x, return_index=True, return_counts=True) for x in blocks]
+        return pd.DataFrame({"block": [x.astype(np.int32) for x, _, _ in out], "n_words": [n for _, _, n in out], "first": [at.astype(np.int32) for _, at, _ in out]})
+
+    found = _blocks_of_pages(words, page, keys, reach_x, reach_y).withColumn("_s", sizes("_blocks"))
+    found = found.select(page, "_words", F.inline(F.arrays_zip("_s.block", "_s.n_words", "_s.first")))
+    return found.select(page, "block", "n_words", *[F.get(f"_words.{c}", F.col("first")).alias(c) for c in keys])
 
 
 def floated(lines: DataFrame, page: str, keys: list[str], width: Column) -> DataFrame:

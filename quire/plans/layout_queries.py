@@ -273,8 +273,8 @@ def fragments_rejoined(spark, d):
 
 @query()
 def words_grown_to_blocks(spark, d):
-    found = fragments.grown_blocks(word_boxes(spark, d), "doc_id", ["line_no", "word_no"], 30.0, 15.0)
-    return found.groupBy("doc_id", "block").agg(F.count("*").alias("n_words"), F.min("line_no").alias("first_line"))
+    found = fragments.grown_sizes(word_boxes(spark, d), "doc_id", ["line_no", "word_no"], 30.0, 15.0)
+    return found.select("doc_id", "block", "n_words", F.col("line_no").alias("first_line"))
 
 
 @query()

@@ -62,3 +62,32 @@ def test_words_grow_as_every_pair_does(spark):
         names = {}
         want |= {(p, *w[:2]): names.setdefault(root[i], len(names)) for i, w in enumerate(words)}
     assert got == want and max(want.values()) > 3
+
+
+def test_pages_of_one_wide_word_or_of_many_meet_in_parts(monkeypatch):
+    r = random.Random(4)
+    n = 400
+    left, up = np.array([r.choice([0.0, 500.0]) + 45 * (k % 9) for k in range(n)]), np.array([22.0 * (k // 9) + r.randint(0, 3) for k in range(n)])
+    box = [left, up, left + np.array([r.randint(10, 60) for _ in range(n)]), up + 12]
+    box[2][7] = 5000.0
+    box[0][11] = np.nan
+    new = np.array([r.random() < 0.2 for _ in range(n)])
+    whole = seeded.joined_words(box, new, 9.0, 4.0)
+    monkeypatch.setattr(seeded, "PAIRS", 37)
+    assert seeded.joined_words(box, new, 9.0, 4.0).tolist() == whole.tolist() and len(set(whole.tolist())) > 5
+    assert seeded.joined_words([np.zeros(0)] * 4, np.zeros(0, bool), 1.0, 1.0).tolist() == []
+
+
+@pytest.mark.parametrize("name", ["row_blocks_grown", "words_grown_to_blocks"])
+def test_a_page_is_one_row_and_meets_nothing(spark, name):
+    plan = e.queries()[name](spark, e.SMOKE_DIR)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "checkpoint" not in plan.lower()
+
+
+def test_sizes_of_blocks(spark):
+    rows = [(p, n, w, 40.0 * w + 300 * (n % 3), 22.0 * n, 40.0 * w + 300 * (n % 3) + 30, 22.0 * n + 12) for p in (1, 2, None) for n in range(9) for w in range(4)]
+    df = spark.createDataFrame(rows, "page int, line_no int, word_no int, l double, t double, r double, b double")
+    words, got = {}, lines.grown_sizes(df, "page", ["line_no", "word_no"], 12.0, 9.0)
+    for x in lines.grown_blocks(df, "page", ["line_no", "word_no"], 12.0, 9.0).collect():
+        words.setdefault((x.page, x.block), []).append((x.line_no, x.word_no))
+    assert {(x.page, x.block): (x.n_words, x.line_no, x.word_no) for x in got.collect()} == {k: (len(v), *min(v)) for k, v in words.items()}
