@@ -91,3 +91,8 @@ def test_sizes_of_blocks(spark):
     for x in lines.grown_blocks(df, "page", ["line_no", "word_no"], 12.0, 9.0).collect():
         words.setdefault((x.page, x.block), []).append((x.line_no, x.word_no))
     assert {(x.page, x.block): (x.n_words, x.line_no, x.word_no) for x in got.collect()} == {k: (len(v), *min(v)) for k, v in words.items()}
+
+
+def test_words_are_made_once_to_be_merged(spark):
+    plan = e.queries()["columns_merged"](spark, e.SMOKE_DIR)._jdf.queryExecution().executedPlan().toString()
+    assert sum("posexplode(_words" in x for x in plan.splitlines()) == 1
