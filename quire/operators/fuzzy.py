@@ -28,6 +28,8 @@ from .matching import PAIR_SCORE, RECOVER_SCORE, best_variant, common_length, fr
 
 #: Pairs that are looked at together, texts of a block, numbers in a table of letters.
 PAIRS, TEXTS, CELLS = 1 << 18, 1 << 13, 1 << 21
+#: Lines or words whose pages are worked on together: what they give on the way is far more than they are.
+HELD = 1 << 13
 #: Bits for each of the twelve commonest letters, for each of the next twelve, and for all others.
 BITS = (3, 2, 4)
 
@@ -207,7 +209,15 @@ def _of_pages(found: DataFrame, reference: DataFrame, page: str, order: tuple[st
 
     @F.pandas_udf(", ".join(f"`{name}` array<{kind}>" for name, kind in fields.items()))
     def run(*columns: pd.Series) -> pd.DataFrame:
-        done = work([[list(x) for x in row] for row in zip(*columns, strict=True)])
+        done, part, held = [], [], 0
+        for row in zip(*columns, strict=True):
+            size = len(row[0]) + len(row[-1])
+            if part and held + size > HELD:
+                done += work(part)
+                part, held = [], 0
+            part.append([list(x) for x in row])
+            held += size
+        done += work(part)
         return pd.DataFrame({name: [[row[k] for row in rows] for rows in done] for k, name in enumerate(fields)})
 
     given = [f"{side}.{name}" for side in ("_a", "_b") for name in ("_at", *values)]

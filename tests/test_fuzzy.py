@@ -139,3 +139,18 @@ def test_null_words_and_pages(spark):
     assert [tuple(x) for x in fuzzy.words_combined(found, reference, "page").collect()] == [(1, 0, 3, 0, 100)]
     lines = [x.withColumnsRenamed({"word_no": "line_no", "word": "text"}) for x in (found, reference)]
     assert fuzzy.displaced_lines(*lines, "page").collect() == []
+
+
+def test_few_pages_of_a_batch_are_held_at_a_time(spark, tmp_path):
+    rows = spark.range(40).select(F.col("id").alias("page"), F.explode(F.sequence(F.lit(0), F.lit(999))).alias("n"))
+    frame = rows.select("page", F.col("n").cast("int").alias("word_no"), F.lit("w").alias("word"))
+    seen = tmp_path / "seen"
+
+    def work(given):
+        with seen.open("a") as f:
+            f.write(f"{sum(len(r[0]) + len(r[2]) for r in given)}\n")
+        return [[(len(r[0]),)] for r in given]
+
+    got = fuzzy._of_pages(frame, frame, "page", ("word_no", "word_no"), ["word"], work, {"n": "int"}).collect()
+    assert len(got) == 40 and {r.n for r in got} == {1000}
+    assert max(map(int, seen.read_text().split())) <= fuzzy.HELD
